@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, sharding, token_counts, topk
-from lodegraph.llm.common import documents, ship
+from lodegraph.llm import byte_bpe, langid, quality, sharding, token_counts, topk
+from lodegraph.llm.common import documents, remainder, ship
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,6 +15,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder("doc_id", 4) != 2)
+    scored = quality.score_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    return scored.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        F.col("__quality").alias("score"),
+        (F.col("__quality") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     vectors = topk.integer_terms(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -50,14 +62,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, remainder("doc_id", 5) != 0)
+    return langid.predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {"op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding}
+    return {"op1_quality": op1_quality, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op1_quality": op1_quality, "op3_topk": OP3_SQL}
