@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, langid, quality, sharding, token_counts, topk
+from lodegraph.llm import byte_bpe, langid, pitman_yor, quality, sharding, token_counts, topk
 from lodegraph.llm.common import documents, remainder, ship
 
 
@@ -27,6 +27,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score_texts(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     vectors = topk.integer_terms(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -74,7 +79,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid}
+    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid}
 
 
 def oracle_sql() -> dict[str, str]:
