@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, langid, pitman_yor, quality, sharding, token_counts, topk
+from lodegraph.llm import byte_bpe, jaccard_join, langid, pitman_yor, quality, sharding, token_counts, topk
 from lodegraph.llm.common import documents, remainder, ship
 
 
@@ -78,8 +78,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir), percent=80, shingle=5)
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid}
+    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
