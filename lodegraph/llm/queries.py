@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, jaccard_join, langid, pitman_yor, quality, sharding, token_counts, topk
+from lodegraph.llm import byte_bpe, decontaminate, jaccard_join, langid, pitman_yor, quality, sharding, token_counts, topk
 from lodegraph.llm.common import documents, remainder, ship
 
 
@@ -82,8 +82,41 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir), percent=80, shingle=5)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=80, shingle=5)
+    return found.select("doc_id", "item_id", "window_start", "n_shared", "similarity")
+
+
+OP10_SQL = r"""
+with i as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from benchmark where text is not null
+), d as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents where text is not null
+), ig as (
+  select item_id, len(w) n, least(5, len(w)) k, w[p + 1 : p + least(5, len(w))] g, count(*) c
+  from i, unnest(range(0, len(w) - least(5, len(w)) + 1)) t(p) where len(w) > 0 group by all
+), dg as (
+  select doc_id, len(w) l, k, p, w[p + 1 : p + k] g
+  from d, (select distinct k from ig), unnest(range(0, len(w) - k + 1)) t(p)
+), hit as (
+  select doc_id, l, item_id, n, ig.k, p, g, c from dg join ig using (k, g)
+), win as (
+  select distinct doc_id, item_id, n, k, l, greatest(0, least(p, l - n)) s from hit
+), got as (
+  select win.doc_id, win.item_id, win.s, win.n, win.k, win.l, h.g, least(count(*), any_value(h.c)) m
+  from win join hit h on win.doc_id = h.doc_id and win.item_id = h.item_id and h.p between win.s and win.s + win.n - win.k
+  group by all
+), sim as (
+  select doc_id, item_id, s, sum(m) m, (n - k + 1) + least(n - k + 1, l - s - k + 1) - sum(m) u
+  from got group by doc_id, item_id, s, n, k, l
+)
+select doc_id, item_id, arg_max(s, (m / u, -s))::int window_start, arg_max(m, (m / u, -s))::int n_shared, max(m / u) similarity
+from sim where 100 * m >= 80 * u group by doc_id, item_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_jaccard_join": op9_jaccard_join}
+    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_jaccard_join": op9_jaccard_join, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
