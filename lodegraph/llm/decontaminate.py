@@ -100,7 +100,7 @@ def _item_side(df: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, window_start, n_shared, similarity, hamming``: each document's best window for each item it holds."""
+    """``doc_id, text_hash, item_id, window_start, n_shared, similarity, hamming``: each document's best window for each item it holds."""
     items = (
         benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(whole_text(item_text_col)).alias("w"))
         .where("size(w) > 0")
@@ -181,7 +181,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int
     # n_shared / n_union rises with n_shared and falls with the window's size, which the start alone decides.
     best = F.max(F.struct((F.col("n_shared") / F.col("n_union")).alias("similarity"), (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h"), "n_shared"))
     return (
-        verified.groupBy("doc_id", "item_id")
+        verified.groupBy("doc_id", "text_hash", "item_id")
         .agg(best.alias("best"))
-        .select("doc_id", "item_id", (-F.col("best.s")).cast("int").alias("window_start"), F.col("best.n_shared").cast("int").alias("n_shared"), F.col("best.similarity").alias("similarity"), (-F.col("best.h")).cast("int").alias("hamming"))
+        .select("doc_id", "text_hash", "item_id", (-F.col("best.s")).cast("int").alias("window_start"), F.col("best.n_shared").cast("int").alias("n_shared"), F.col("best.similarity").alias("similarity"), (-F.col("best.h")).cast("int").alias("hamming"))
     )

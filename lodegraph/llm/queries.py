@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, decontaminate, jaccard_join, langid, pitman_yor, quality, sharding, token_counts, topk
+from lodegraph.llm import byte_bpe, decontaminate, jaccard_join, langid, pitman_yor, quality, sharding, surrogates, token_counts, topk
 from lodegraph.llm.common import documents, remainder, ship
 
 
@@ -78,6 +78,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Key of the registered queries; a deployment passes its own secret.
+SURROGATE_KEY = b"lodegraph registered query"
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    replaced = surrogates.replace(docs, SURROGATE_KEY)
+    return replaced.select("doc_id", F.col("__n_mentions").alias("n_mentions"), "text")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir), percent=80, shingle=5)
 
@@ -116,7 +126,7 @@ from sim where 100 * m >= 80 * u group by doc_id, item_id
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_jaccard_join": op9_jaccard_join, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op2_pitman_yor": op2_pitman_yor, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op8_surrogates": op8_surrogates, "op9_jaccard_join": op9_jaccard_join, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
