@@ -1,0 +1 @@
+"""Column expressions that several operators share live next to their operators; none is needed beyond Spark's own."""

@@ -1,0 +1 @@
+"""The graph is static: triples and neighbour lists are loaded once, so nothing streams."""
