@@ -92,6 +92,26 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir), percent=80, shingle=5)
 
 
+OP9_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+  from documents
+), s as (
+  select distinct doc_id, w[p + 1 : p + least(5, len(w))] g from d, unnest(range(0, len(w) - least(5, len(w)) + 1)) t(p) where len(w) > 0
+), n as (
+  select doc_id, count(*) n from s group by doc_id
+), e as (
+  select a.doc_id x, b.doc_id y from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), r as (
+  select x, y from e union select r.x, e.y from r join e on r.y = e.x
+)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) component_id
+from d left join n on n.doc_id = d.doc_id left join r on r.x = d.doc_id group by d.doc_id
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=80, shingle=5)
     return found.select("doc_id", "item_id", "window_start", "n_shared", "similarity")
@@ -130,4 +150,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": op1_quality, "op3_topk": OP3_SQL}
+    return {"op3_topk": OP3_SQL, "op9_jaccard_join": OP9_SQL, "op10_decontaminate": OP10_SQL}

@@ -1,0 +1,306 @@
+"""Top-k, Jaccard join, decontamination, surrogates, and the pipeline."""
+
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from llm_tables import make
+from lodegraph.llm import components, decontaminate, jaccard_join, queries, surrogates, topk
+
+SF = "/root/testdata/sf0.01"
+
+
+# ---- top-k ---------------------------------------------------------------------------
+
+
+def brute_top_k(vectors, k):
+    found = []
+    for q, v in vectors:
+        if q % 20:
+            continue
+        scores = sorted((-int(np.dot(v, w)), c) for c, w in vectors if c != q)[:k]
+        found += [(q, i, c, -s) for i, (s, c) in enumerate(scores, 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("n,k,sparse", [(300, 5, False), (300, 5, True), (12, 20, False)])
+def test_top_k_with_ties(spark, monkeypatch, n, k, sparse):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
+    rng = np.random.default_rng(n)
+    v = rng.integers(-2, 3, (n, 6)) * (rng.random((n, 6)) < (0.2 if sparse else 1))
+    rows = [(i, [int(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, terms array<long>")
+    got = sorted(map(tuple, topk.top_k(df, df.where("id % 20 = 0"), k).collect()))
+    assert got == brute_top_k([(i, np.array(r)) for i, r in rows], k)
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(0, [1.0, 0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [-0.01, 0.99]), (None, [1.0, 1.0]), (20, []), (6, [2.0**30, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    terms = {r["id"]: r["terms"] for r in topk.integer_terms(df).collect()}
+    assert terms == {0: [64, 32], 5: [-1, 63], 20: [], 6: [2**36, 0]}
+    got = sorted(map(tuple, topk.top_k(topk.integer_terms(df), topk.integer_terms(df).where("id % 20 = 0"), 2).collect()))
+    assert got == [(0, 1, 6, 64 * 2**36), (0, 2, 5, 63 * 32 - 64), (20, 1, 0, 0), (20, 2, 5, 0)]
+    assert topk.top_k(topk.integer_terms(df.limit(0)), topk.integer_terms(df.limit(0)), 2).count() == 0
+    with pytest.raises(Exception, match="64 bits"):
+        big = spark.createDataFrame([(0, [2.0**33]), (1, [2.0**33])], "vec_id long, embedding array<float>")
+        topk.top_k(topk.integer_terms(big), topk.integer_terms(big), 1).collect()
+
+
+# ---- Jaccard join ----------------------------------------------------------------------
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_join(rows, percent=80):
+    sets = [shingles(t) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[find(i)] = find(j)
+    names = {}
+    for i, (d, _, _) in enumerate(rows):
+        if d is not None:
+            names[find(i)] = min(d, names.get(find(i), d))
+    return [(d, len(s), names.get(find(i)) if s else d) for i, ((d, _, _), s) in enumerate(zip(rows, sets))]
+
+
+def key(row):
+    return tuple((v is not None, v) for v in row)
+
+
+def test_join_of_corner_cases(corner, corner_rows, empty):
+    assert sorted(map(tuple, jaccard_join.join(corner).collect()), key=key) == sorted(brute_join(corner_rows), key=key)
+    assert jaccard_join.join(empty).count() == 0
+
+
+@pytest.mark.parametrize("frequent,seed", [(64, 1), (3, 2)])
+def test_join_of_random_near_copies(spark, monkeypatch, frequent, seed):
+    """Sizes around the bounds, chains, and a passage that all texts share; frequent subsets of either bound."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "SLICE", 4)
+    rng = random.Random(seed)
+    rows, passage = [], [f"p{i}" for i in range(14)]
+    for group in range(12):
+        words = [f"g{group}w{rng.randint(0, 10**6)}" for _ in range(rng.choice((6, 9, 20, 45, 110, 300)))] + passage
+        for _ in range(rng.randint(1, 9)):
+            new = list(words)
+            for _ in range(rng.choice((0, 1, 1, 2, 3, 5))):
+                at = rng.randrange(len(new))
+                new[at : at + 1] = rng.choice(([], ["x" + str(rng.random())], [new[at], "y" + str(rng.random())]))
+            rows.append((len(rows), " ".join(new), None))
+            if rng.random() < 0.4:
+                words = new
+    rows += [(len(rows), " ".join(passage), None), (len(rows) + 1, " ".join([*passage, "z"]), None)]
+    got = sorted(map(tuple, jaccard_join.join(make(spark, rows)).collect()))
+    assert got == sorted(brute_join(rows))
+    assert len({c for _, _, c in got}) < len(got)
+
+
+def test_segments_find_every_pair_within_the_bound():
+    """The pigeonhole principle, with neighbourhoods, on sets at exactly the bound."""
+    rng = np.random.default_rng(3)
+    for size in (5, 9, 23, 60, 140, 400):
+        for _ in range(20):
+            union = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            most = size // 5
+            cut = int(rng.integers(0, most + 1))
+            a, b = np.unique(union[: size - cut]), np.unique(union[most - cut :])
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 80 * (len(a) + len(b) - both):
+                continue
+            assert np.intersect1d(jaccard_join.subsets(a, 80)[0], jaccard_join.subsets(b, 80)[0]).size or (len(a) == len(b) == both)
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    order = list(range(60))
+    rng.shuffle(order)
+    edges = [*zip(order[:40], order[1:40]), (100, 101), (102, 100), (103, 100)]
+    found = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found[v] == min(order[:40]) for v in order[:40])
+    assert {found[v] for v in (100, 101, 102, 103)} == {100} and len(found) == 44
+
+
+# ---- decontamination -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"b{i}w{rng.randint(0, 50)}" for _ in range(n))) for i, n in enumerate((40, 25, 12, 5, 3))]
+    rows += [(7, None), (8, ""), (9, "rep rep rep rep rep rep rep rep rep rep a b c d e f"), (None, "null item with enough words here")]
+    return rows
+
+
+def brute_windows(docs, items, percent=80):
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    found = {}
+    for d, t, _ in docs:
+        w = words(t)
+        for item, it in items:
+            iw = words(it)
+            if not iw:
+                continue
+            k, n = min(5, len(iw)), len(iw)
+            from collections import Counter
+
+            want = Counter(tuple(iw[i : i + k]) for i in range(n - k + 1))
+            for s in range(max(1, len(w) - n + 1)):
+                own = w[s : s + n]
+                have = Counter(tuple(own[i : i + k]) for i in range(len(own) - k + 1))
+                both = sum((want & have).values())
+                union = sum((want | have).values())
+                if 100 * both >= percent * union:
+                    best = (both / union, -s)
+                    found[d, item] = max(best, found.get((d, item), (0, 0)))
+    return {k: v[0] for k, v in found.items()}
+
+
+def test_windows(spark, bench, corner, corner_rows, empty):
+    items = {i: t for i, t in bench}
+    edited = items[0].split()
+    edited[38] = "other"
+    docs = [*corner_rows, (50, "x y " + items[0].upper() + " z", None), (51, f"q {' '.join(edited)} r", None), (52, " ".join(items[1].split()[:-2]), None), (53, items[4], None), (54, items[2].replace(" ", ", "), None),
+            (55, " ".join(items[0].split()[:20]), None), (56, items[9] + " tail", None), (57, "rep " * 40, None), (58, items[3] + " " + items[4], None), (59, "Null item with enough words here!", None)]
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find(make(spark, docs), benchmark).collect()}
+    assert got == pytest.approx(brute_windows(docs, bench))
+    assert (50, 0) in got and (51, 0) in got and (55, 0) not in got and (56, 9) in got and (59, None) in got
+    assert decontaminate.find(empty, benchmark).count() == 0
+    assert decontaminate.find(corner, benchmark.limit(0)).count() == 0
+
+
+def test_main_path_is_native(spark, bench):
+    df = decontaminate.find(make(spark, [(1, "a", None)]), spark.createDataFrame(bench, "item_id long, text string"))
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_decontamination_oracle(spark):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name in ("op10_decontaminate", "op3_topk", "op9_jaccard_join"):
+        want = c.sql(queries.oracle_sql()[name])
+        columns = sorted(want.columns)
+        got = queries.queries()[name](spark, SF)
+        assert sorted(tuple(r[x] for x in columns) for r in got.collect()) == sorted(tuple(dict(zip(want.columns, r))[x] for x in columns) for r in want.fetchall())
+
+
+def test_simhash_bits(spark):
+    values = [5, -3, 2**62 + 1, -(2**63)]
+    got = spark.createDataFrame([(values,)], "h array<long>").select(decontaminate.simhash(F.col("h"))).first()[0]
+    want = sum(1 << b for b in range(64) if 2 * sum((v >> b) & 1 for v in values) > len(values))
+    assert got & (2**64 - 1) == want
+
+
+# ---- surrogates -----------------------------------------------------------------------------
+
+KEY = b"test"
+TEXT = (
+    "Mail jo.98@mail5.example.com or JO.98@MAIL5.EXAMPLE.COM, tel +1 (682) 555-5413 and 682-555-5413 184.203.162.191; card 4539 5787 6362 1486, "
+    'token = "df2380f58ece0d4203dba938c1f9a8cce0451234" Mr. John Smith met Frau Anna Keller and Dr. Smith. г-жа Анна Петрова. DE89 3704 0044 0532 0130 00'
+)
+
+
+def test_surrogates_keep_type_and_format():
+    new, n = surrogates.rewrite(TEXT, KEY, lambda kind, entity: 0)
+    old_found, found = surrogates.mentions(TEXT), surrogates.mentions(new)
+    assert n == len(old_found) == len(found) and [m[2] for m in old_found] == [m[2] for m in found]
+    assert not {e for *_, e in old_found} & {e for *_, e in found}
+    digits = re.search(r"card ([\d ]+)", new)[1].replace(" ", "")
+    assert surrogates.luhn(digits) and surrogates.iban_valid(re.search(r"DE[\d ]+$", new)[0].replace(" ", ""))
+    # Coreference: same entity, same surrogate, in each mention's format.
+    mails = re.findall(r"\S+@[\w.]+", new)
+    assert mails[0] == mails[1].lower() and mails[1].isupper()
+    phones = re.findall(r"\((\d{3})\) (\d{3})-(\d{4})|(\d{3})-(\d{3})-(\d{4})", new)
+    assert phones[0][:3] == phones[1][3:]
+    john, smith = re.search(r"Mr\. (\w+) (\w+)", new).groups()
+    assert re.search(r"Dr\. (\w+)", new)[1] == smith and john in surrogates.NAMES["latin", "m"]
+    assert re.search(r"Frau (\w+)", new)[1] in surrogates.NAMES["latin", "f"]
+    assert re.search(r"г-жа (\w+)", new)[1] in surrogates.NAMES["cyrillic", "f"]
+    assert surrogates.rewrite(TEXT, b"other", lambda k, e: 0)[0] != new
+
+
+def test_clean_text_is_left_alone():
+    for text in ("", "In 1999 it rose by 3.5 to 1,000,000 on 12/11/2020 at 10:30.", "the key is here; a token of thanks", "v1.2.3.4.5 and 300.1.1.1"):
+        assert surrogates.rewrite(text, KEY, lambda k, e: 0) == (text, 0)
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_distinct_entities_stay_distinct(spark, monkeypatch, sent):
+    """A hundred female names share a pool of twenty: collisions are drawn again, both ways of looking them up."""
+    monkeypatch.setattr(surrogates, "SENT_ROWS", sent)
+    base = [f"Frau {chr(65 + i)}{chr(97 + j)}la Meier" for i in range(10) for j in range(10)]
+    rows = [(i, f"{n} and again {n}. a{i % 7}@x.org", None) for i, n in enumerate(base)] + [(None, None, None), (200, "", None), (201, base[0], None)]
+    docs = make(spark, rows)
+    out = surrogates.replace(docs, KEY)
+    assert out.columns == [*docs.columns, "__n_mentions"]
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    given = [re.findall(r"Frau (\w+)", texts[i]) for i in range(100)]
+    assert all(len(set(g)) == 1 for g in given) and len({g[0] for g in given}) == 100
+    assert len({re.search(r"\S+@\S+", texts[i])[0] for i in range(100)}) == 7
+    assert not {g[0] for g in given} & {b.split()[1] for b in base}
+    assert texts[None] is None and texts[200] == "" and re.findall(r"Frau (\w+)", texts[201])[0] == given[0][0]
+    assert surrogates.replace(make(spark, []), KEY).count() == 0
+
+
+# ---- pipeline -------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+    import public_tokenizers
+    import tiktoken
+
+    from lodegraph.llm import byte_bpe, quality
+    from lodegraph.llm.common import stored
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("component_id", F.lit("clash"))
+    seen = [docs]
+    for name, stage in p.STAGES:
+        seen.append(stored(stage(spark, seen[-1], SF), "stage"))
+    assert all(df.columns == docs.columns for df in seen[:-1])
+    good = quality.score_rows(docs, quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))).where("__quality >= 0.7")
+    ids = [{r["doc_id"] for r in df.select("doc_id").collect()} for df in seen]
+    assert ids[1] == {r["doc_id"] for r in good.select("doc_id").collect()} and ids[1] < ids[0]
+    joined = brute_join([(r["doc_id"], r["text"], None) for r in seen[1].collect()])
+    assert ids[2] == {d for d, _, c in joined if c == d} and ids[2] < ids[1]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    held = {r["doc_id"] for r in decontaminate.find(seen[2], spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert ids[3] == ids[2] - held and held
+    assert ids[4] == ids[3] == ids[5]
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in seen[4].collect()}
+    for r in seen[5].collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(texts[r["doc_id"]])
+    assert all("@mail" not in t.lower() for t in texts.values())
+
+
+def test_pipeline_stages_on_corner_cases(spark, corner, empty):
+    import corpus_pipeline as p
+
+    once = p.jaccard_stage(spark, corner, SF)
+    assert once.columns == corner.columns
+    kept = [r["doc_id"] for r in once.collect()]
+    assert 2 not in kept and 3 not in kept and kept.count(1) == 1 and kept.count(10) == 1 and {4, 5, 9, 11} <= set(kept)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    for name, stage in p.STAGES[2:]:
+        assert stage(spark, corner, SF).count() == corner.count()

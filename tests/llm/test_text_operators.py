@@ -95,7 +95,7 @@ def test_shards_of_the_table_are_even_and_keep_equal_texts(spark):
 
 
 def test_one_text_that_fills_the_table_is_spread(spark):
-    from conftest import make
+    from llm_tables import make
 
     rows = sharding.shard(make(spark, [(i, "same text " * 5, None) for i in range(400)]), 8).collect()
     assert collections.Counter(r["shard"] for r in rows) == {s: 50 for s in range(8)}
