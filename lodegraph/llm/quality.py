@@ -34,6 +34,8 @@ from lodegraph.llm.sampling import sampled_ids
 
 #: Labelled documents of each class in the sample (documented bound).
 SAMPLE_DOCUMENTS = 1200
+#: Of a longer sampled text, evenly spaced pieces with so many characters in all are learnt from (scoring reads whole texts).
+SAMPLE_CHARACTERS = 1 << 16
 #: Bytes of text for a dictionary's training, for each class.
 SAMPLE_BYTES = 6 << 20
 DICTIONARY_BYTES = 112 << 10
@@ -114,13 +116,19 @@ def fit(texts: list[str], labels: list[int], totals: dict[int, int]) -> Model:
     return Model(built[1], built[0], tuple(_logistic(x, y, weight)))
 
 
+def _spread(text):
+    pieces = SAMPLE_CHARACTERS // PIECE_BYTES
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * F.length(text) / F.lit(pieces)).cast("int") + 1, F.lit(PIECE_BYTES)))
+    return F.when(F.length(text) <= SAMPLE_CHARACTERS, text).otherwise(F.array_join(spaced, ""))
+
+
 def train(docs: DataFrame, labels: DataFrame, learnable, bound: int = SAMPLE_DOCUMENTS) -> Model:
     """Fit on a bounded sample of the labelled documents for which ``learnable`` (a condition on ``doc_id``) holds."""
     labelled = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learnable).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ids = sampled_ids(labelled, bound)  # at most 2.4 * bound rows, so it can be broadcast
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), whole_text("text").alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("id"), _spread(whole_text("text")).alias("text"))
         .join(F.broadcast(ids), "id")
         .dropDuplicates(["id"])
         .orderBy(F.xxhash64("id"), "id")
