@@ -19,10 +19,10 @@ shared shingles have no partner and need no index entries; that is exact, not a
 sample. Equal sets are one node from then on.
 
 Candidates of a subset's group are not expanded into all pairs: the smallest set
-of the group meets all the others, verified links give components, and only
-groups whose sets are not yet in one component go on with further pairs, until
-no group has an unverified pair between two components. So every link between
-different components is found, and copies cost no more than their number.
+of the group meets all the others, and verified links give components. The sets
+of a group's largest component are settled then; the others seek all sets of the
+group that are in other components. So every link between different components
+is found, and copies cost no more than their number.
 
 Verification counts equal 64-bit shingle hashes of both whole sets.
 
@@ -49,11 +49,13 @@ from lodegraph.llm.packed import Numbers, chunks, rows
 
 #: A subset with more sets than this is frequent.
 FREQUENT = 64
-#: So many probing sets of a group meet its other sets in a round.
-SLICE = 32
-#: Identifiers are broadcast up to this many (16 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1 << 21
+#: So many sets of a group seek others in the first round.
+SLICE = 256
+#: Sets to rebuild are broadcast up to this many (some 40 MB); beyond it the join shuffles.
+BROADCAST_ROWS = 1 << 19
 BAND_RATIO = 1.5
+#: Classes of the smallest sketch.
+SKETCH = 128
 #: One segment in so many has a neighbourhood.
 NEIGHBOURHOOD_SHARE = 12
 CHUNK = 10 << 20
@@ -107,9 +109,9 @@ def _send_shingles(batches, size: int, n_buckets: int):
         flat = np.concatenate(sets)
         doc = np.repeat(np.arange(len(sets), dtype=np.uint32), counts)
         bucket = (flat % _U(n_buckets)).astype(np.int64)
-        # 40 more bits: a chance collision only lets a set through that the index then examines.
-        part = (flat // _U(n_buckets)) & _U((1 << 40) - 1)
-        order = np.argsort((bucket.astype(np.uint64) << _U(40)) | part)
+        # 32 more bits: a chance collision only lets a set through that the index then examines.
+        part = (flat // _U(n_buckets)) & _U((1 << 32) - 1)
+        order = np.argsort((bucket.astype(np.uint64) << _U(32)) | part)
         bucket, part, doc = bucket[order], part[order], doc[order]
         doc = doc.astype(np.uint16) if len(sets) < 1 << 16 else doc
         sent = [(key, 0, key, pack(ids, known, counts, prints[:, 0].copy(), prints[:, 1].copy()))]
@@ -160,7 +162,7 @@ def _decide(docs: pa.Table, answers: pa.Table, percent: int) -> pa.Table:
 
 def _rebuild(batches, size: int):
     for b in batches:
-        sid, out = [], []
+        sid, out, sketches = [], [], []
         want = list(zip(b.column("s1").to_pylist(), b.column("s2").to_pylist()))
         texts, ids = b.column("text").to_pylist(), b.column("sid").to_pylist()
         for at in range(0, len(texts), 256):
@@ -168,7 +170,11 @@ def _rebuild(batches, size: int):
                 if fingerprint(s) == want[i]:  # another row of the same id may have another text
                     sid.append(ids[i])
                     out.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(list(map(len, out)), pa.int32()), pa.array(out, pa.binary())], names=["sid", "bytes", "shingles"])
+                    sketches.append(sketch(s))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sid, pa.int64()), pa.array(list(map(len, out)), pa.int32()), pa.array(out, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["sid", "bytes", "shingles", "sketch"],
+        )
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int]]:
@@ -224,6 +230,32 @@ def _entries(batches, percent: int):
             )
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each class, up to 255; a power of two of classes, more for larger sets."""
+    classes = SKETCH
+    while classes * 12 < len(s):
+        classes *= 2
+    return np.minimum(np.bincount((s >> _U(24)).astype(np.int64) & (classes - 1), minlength=classes), 255).astype(np.uint8).tobytes()
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ; classes are merged to the smaller number."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(p), len(q))
+    p, q = (np.minimum(v.reshape(-1, n).sum(axis=0, dtype=np.int64), 255) for v in (p, q))
+    return int(np.abs(p - q).sum())
+
+
+def _can_link(batches, percent: int):
+    """Pairs whose sketches differ by no more than the sets of a link can."""
+    for b in batches:
+        kept = [
+            sketch_difference(x, y) * (100 + percent) <= (nx + ny) // 8 * (100 - percent)
+            for x, y, nx, ny in zip(*(b.column(c).to_pylist() for c in ("x", "y", "nx", "ny")))
+        ]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
 def _verify(batches, percent: int):
     for b in batches:
         kept = []
@@ -236,12 +268,15 @@ def _verify(batches, percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs that are links; sets meet in two joins, whose hot keys adaptive execution splits."""
-    close = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    x = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"), F.col("bytes").alias("nx"))
-    y = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"), F.col("bytes").alias("ny"))
-    sizes = sets.select(F.col("sid").alias("a"), F.col("bytes").alias("nx")), sets.select(F.col("sid").alias("b"), F.col("bytes").alias("ny"))
-    near = pairs.join(sizes[0], "a").join(sizes[1], "b").where(close).select("a", "b")
+    """The pairs that are links: sketches rule out most others, whole sets decide the rest.
+
+    Both meet in joins by set, whose hot keys adaptive execution splits.
+    """
+    x = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("x"), F.col("bytes").alias("nx"))
+    y = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("y"), F.col("bytes").alias("ny"))
+    near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(lambda b: _can_link(b, percent), "a long, b long"), "near")
+    x = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     return stored(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, percent), "a long, b long"), name)
 
 
@@ -277,27 +312,33 @@ def _clusters(sets: DataFrame, percent: int) -> DataFrame:
     # Round 1: the smallest set of every needed group meets the others.
     hubs = groups.groupBy("key").agg(F.min("sid").alias("b"), F.max("probe").alias("needed")).where("needed").select("key", "b")
     links = _links(groups.join(hubs, "key").where("sid > b").select(F.col("sid").alias("a"), "b").distinct(), sets, percent, "links")
-    met = 0
-    while True:
-        labels = components(links)
-        clustered = groups.join(labels, groups["sid"] == labels["node"], "left").select("key", "sid", "probe", F.coalesce("label", "sid").alias("cluster"))
-        # Groups with probing sets and more than one component still hold pairs to verify, a slice of the probing sets at a time.
-        slices = (
-            clustered.groupBy("key")
-            .agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.sum(F.col("probe").cast("long")).alias("probes"))
-            .where("low <> high and probes > 0")
-            .select("key", F.ceil(F.col("probes") / SLICE).alias("slices"))
-            .where(F.col("slices") > met)
-        )
-        remaining = stored(clustered.join(slices, "key"), "open")
-        if remaining.isEmpty():
-            return labels
-        slot = F.floor(F.pmod(F.xxhash64("key", "sid"), F.lit(1 << 20)) * F.col("slices") / F.lit(1 << 20))
-        probing = remaining.where(F.col("probe") & (slot == F.lit(met))).select("key", F.col("sid").alias("p"), F.col("cluster").alias("c"))
-        pairs = remaining.join(probing, "key").where("cluster <> c").select(F.greatest("sid", "p").alias("a"), F.least("sid", "p").alias("b")).distinct()
+    labels = components(links)
+
+    def clustered(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, rows["sid"] == labels["node"], "left").select(*(rows[c] for c in rows.columns), F.coalesce("label", "sid").alias("cluster"))
+
+    # In every group the sets of its largest component are settled: they are linked with one another, and the others seek them.
+    now = clustered(groups)
+    parts = now.groupBy("key", "cluster").agg(F.count("*").alias("n"), F.max("probe").alias("probes"))
+    main = parts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("probes").alias("needed"))
+    main = main.where("parts > 1 and needed").select("key", "main", "size")
+    groups = stored(now.join(main, "key").select("key", "sid", "probe", (F.col("cluster") == F.col("main")).alias("settled"), "size"), "open")
+    done = 0
+    while not groups.isEmpty():
+        # A slice of the seeking sets meets the other sets of its groups; slices double, so rounds are few.
+        until = done + SLICE * max(1, done // SLICE + 1)
+        place = F.pmod(F.xxhash64("key", "sid"), F.lit(1 << 20)) * F.col("size") / F.lit(1 << 20)
+        now = stored(clustered(groups), "now")
+        seeking = now.where(~F.col("settled") & (place >= done) & (place < until)).select(F.col("key").alias("k"), F.col("sid").alias("p"), F.col("cluster").alias("c"), F.col("probe").alias("probing"))
+        met = now.join(seeking, (F.col("key") == F.col("k")) & (F.col("cluster") != F.col("c")) & (F.col("probing") | (F.col("settled") & F.col("probe"))))
+        pairs = met.select(F.greatest("sid", "p").alias("a"), F.least("sid", "p").alias("b")).distinct()
         more = _links(pairs, sets, percent, "links")
-        links = links.unionByName(more)
-        groups, met = remaining.select("key", "sid", "probe"), met + 1
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        done = until
+        groups = groups.where(F.col("size") > done)
+    return labels
 
 
 def join(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +360,7 @@ def join(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "do
     sets = stored(
         texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]))
         .select("sid", "s1", "s2", "text")
-        .mapInArrow(lambda b: _rebuild(b, shingle), "sid long, bytes int, shingles binary"),
+        .mapInArrow(lambda b: _rebuild(b, shingle), "sid long, bytes int, shingles binary, sketch binary"),
         "shingles",
     )
     labels = _clusters(sets, percent)
