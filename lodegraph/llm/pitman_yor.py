@@ -52,7 +52,7 @@ EXACT = 48
 SWEEPS, SAMPLES = 4, 3
 STRENGTH_CONTEXT, STRENGTH_ROOT = 1.0, 1.0
 SEED = 20240607
-CHUNK = 14 << 20
+CHUNK = 8 << 20
 END = b""  # no word is empty
 
 _SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
