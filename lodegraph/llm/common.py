@@ -20,6 +20,10 @@ _LOCAL: list[str] = []
 #: Bytes of text that a task holds in its packed form at once.
 CHUNK_BYTES = 24 << 20
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session sets them: long rows make small batches.
+ARROW_BATCH_BYTES = 8 << 20
+_ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -84,7 +88,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable for the executors' Python workers."""
+    """Make this package importable for the executors' Python workers, and bound the batches that they hold."""
+    if spark.conf.get(_ARROW_BATCH, None) is None:
+        spark.conf.set(_ARROW_BATCH, str(ARROW_BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_lodegraph_shipped", False):

@@ -58,7 +58,8 @@ BAND_RATIO = 1.5
 SKETCH = 128
 #: One segment in so many has a neighbourhood.
 NEIGHBOURHOOD_SHARE = 12
-CHUNK = 10 << 20
+#: Bytes of text in a chunk; a task's arrays take some 15 times as much.
+CHUNK = 6 << 20
 
 _SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("alive", pa.bool_())])
@@ -123,6 +124,7 @@ def _send_shingles(batches, size: int, n_buckets: int):
             sent.append((int(bucket[a]), 1, key, pack(np.array([len(sets)]), steps, doc[a:z])))
         for at in range(0, len(sent), 64):
             yield from rows(_SENT, sent[at : at + 64]).to_batches()
+        pa.default_memory_pool().release_unused()
 
 
 def _count_shared(table: pa.Table) -> pa.Table:
