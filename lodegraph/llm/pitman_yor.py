@@ -2,9 +2,8 @@
 
 The hierarchy has a restaurant for each context word, all of which share one
 parent, the unigram restaurant, whose base is uniform over the vocabulary and
-one unknown word. A word that makes up at least ``1 / CONTEXTS`` of all training
-tokens has a context restaurant (so there are at most ``CONTEXTS`` of them, at
-any corpus size); after a rarer word the parent predicts alone.
+one unknown word. Every word that a training token follows has a context
+restaurant; after any other word the parent predicts alone.
 
 Seating is sampled by Gibbs sweeps. In a sweep, the customers of one dish in one
 restaurant are seated anew given everybody else: with ``c`` customers, the
@@ -21,11 +20,13 @@ predictive probabilities are averaged over the last ``SAMPLES`` sweeps.
 
 Data flow: chunks of whole documents send each distinct (context, word) once,
 with its training count, to the bucket of the word's hash. A bucket holds the
-seating of its words in all restaurants and their parent's customers, so a sweep
-needs no shuffle, only the table totals of the restaurants (at most ``CONTEXTS``
-numbers). Seats are drawn from seeds, so a lost task seats its customers as
-before. Probabilities return to the chunks, where token positions sum them up.
-All training tokens are counted; what is gathered grows with the corpus.
+seating of its words in all restaurants and their parent's customers. The totals
+of a restaurant are kept apart, in the part of its context's hash: after each
+sweep buckets send their contexts' tables to the parts, which add them up and
+answer the buckets that asked. A context is known by its 64-bit hash. Seats are
+drawn from seeds, so a lost task seats its customers as before. Probabilities
+return to the chunks, where token positions sum them up. All training tokens are
+counted; the driver gets a few sums only.
 
 Defined cases: a null or empty text is the end token alone; tokens that are not
 in the training texts are unknown and share one unknown word's probability; a
@@ -36,24 +37,30 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import pack, shuffle_partitions, stored, unpack, whole_text
 from lodegraph.llm.packed import Numbers, chunks, rows
 
-CONTEXTS = 1000
 EXACT = 48
 SWEEPS, SAMPLES = 4, 3
 STRENGTH_CONTEXT, STRENGTH_ROOT = 1.0, 1.0
 SEED = 20240607
 CHUNK = 8 << 20
 END = b""  # no word is empty
+#: Kinds of rows: sums of a bucket, its dishes and its contexts; from a part, places and customers of a bucket's contexts.
+SUMS, DISHES, NAMES, PLACES = 0, 1, 2, 3
+#: And after sweep s: seats, what goes to the parts, and the tables that a part answers.
+SEATS, SENT, TABLES = 100, 200, 300
 
 _SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 _DDL = "key long, kind int, chunk long, blob binary"
@@ -81,47 +88,15 @@ def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-# ---- counting words ------------------------------------------------------------------
-
-
-def _count_words(batches, n_buckets: int):
-    for key, held in chunks(batches, ("text", "learn"), "text", CHUNK):
-        numbers = Numbers()
-        found = [np.fromiter(map(numbers.__getitem__, tokens(t)), np.int32) for t, y in zip(held["text"], held["learn"]) if y]
-        if not found:
-            continue
-        words = list(numbers)
-        counts = np.bincount(np.concatenate(found), minlength=len(words))
-        bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        sent = [(int(bucket[order[a]]), 1, key, pack(*_joined([words[i] for i in order[a:z]]), counts[order[a:z]])) for a, z in _runs(bucket[order])]
-        for at in range(0, len(sent), 64):
-            yield from rows(_SENT, sent[at : at + 64]).to_batches()
-
-
-def _merge_words(table: pa.Table, contexts: int) -> pa.Table:
-    """Totals of a bucket (kind 0), and its most frequent words (kind 1): no more than there can be contexts."""
-    total: dict[bytes, int] = {}
-    for blob in table.column("blob").to_pylist():
-        lengths, flat, counts = unpack(blob)
-        for w, c in zip(_separate(lengths, flat), counts.tolist()):
-            total[w] = total.get(w, 0) + c
-    counts = np.fromiter(total.values(), np.int64, len(total))
-    bucket = table.column("key")[0].as_py()
-    totals = np.array([counts.sum(), len(counts), (counts == 1).sum(), (counts == 2).sum()])
-    # A context's share of all tokens is at least 1/contexts, so its share of this bucket's tokens is, too.
-    some = [(w, c) for w, c in total.items() if c * contexts >= counts.sum()]
-    lengths, flat = _joined([w for w, _ in some])
-    return rows(_SENT, [(bucket, 0, 0, pack(totals)), (bucket, 1, 0, pack(lengths, flat, np.array([c for _, c in some], np.int64)))])
+# ---- encoding chunks -----------------------------------------------------------------
 
 
-# ---- encoding chunks -----------------------------------------------------------------
+def context_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-def _encode(batches, n_buckets: int, context_words: list[bytes]):
+def _encode(batches, n_buckets: int):
     """Kind 0 (by chunk): documents and the types of their tokens; kind 1 (by bucket): types with training counts."""
-    numbered = {w: i + 1 for i, w in enumerate(context_words)}
-    width = len(context_words) + 1
     for key, held in chunks(batches, ("doc_id", "text", "learn"), "text", CHUNK):
         numbers = Numbers()
         numbers[END] = 0
@@ -133,14 +108,14 @@ def _encode(batches, n_buckets: int, context_words: list[bytes]):
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        context = np.fromiter((numbered.get(w, 0) for w in words), np.int64, len(words))
+        context = np.fromiter(map(context_hash, words), np.uint64, len(words))
         before = np.concatenate([[0], flat[:-1]])  # before a document's first word stands the end of another
         learn = np.repeat(np.array(held["learn"], bool), counts)
-        types, at = np.unique(place[flat] * width + context[before], return_inverse=True)
+        types, at = np.unique(place[flat] * len(words) + before, return_inverse=True)
         trained = np.bincount(at[learn], minlength=len(types))
         ids = np.array([-1 if d is None else d for d in held["doc_id"]], np.int64)
         known = np.array([d is not None for d in held["doc_id"]], np.uint8)
-        of_word, of_context = types // width, (types % width).astype(np.uint16 if width < 1 << 16 else np.uint32)
+        of_word, of_context = types // len(words), context[types % len(words)]
         sent = [(key, 0, key, pack(ids, known, counts, at.astype(np.uint32)))]
         n_types = np.bincount(of_word, minlength=len(words))
         ends = np.cumsum(n_types)
@@ -157,7 +132,7 @@ def _encode(batches, n_buckets: int, context_words: list[bytes]):
 
 @dataclass(frozen=True)
 class Totals:
-    """What a sweep needs to know of the other buckets: at most CONTEXTS + 3 numbers."""
+    """What a sweep in a bucket needs to know of the others: sums, and totals of the contexts that the bucket has."""
 
     n: int  # training tokens
     v: int  # distinct words among them
@@ -166,24 +141,58 @@ class Totals:
     customers: np.ndarray  # of each context restaurant, by number; 0 has none
     tables: tuple[np.ndarray, ...] = ()  # of each context restaurant, after each sweep
     root: tuple[tuple[int, int], ...] = ()  # customers and tables of the unigram restaurant, after each sweep
+    names: np.ndarray | None = None  # hashes of the contexts 1, 2, ... in order; without them a type holds its context's number
 
 
-def _merge_types(table: pa.Table, width: int) -> pa.Table:
-    """The dishes of a bucket in all restaurants: word lengths, words, dish's word, restaurant, customers."""
-    numbers, codes, counts = Numbers(), [], []
+def _merge_types(table: pa.Table, n_parts: int) -> pa.Table:
+    """The dishes of a bucket in all restaurants (word lengths, words, dish's word, restaurant, customers), the hashes of all
+    contexts that it has, and for every part that holds some of them their customers."""
+    bucket = table.column("key")[0].as_py()
+    numbers, words, contexts, counts = Numbers(), [], [], []
     for blob in table.column("blob").to_pylist():
         lengths, flat, n_types, context, trained = unpack(blob)
         own = np.fromiter(map(numbers.__getitem__, _separate(lengths, flat)), np.int64, len(lengths))
-        some = trained > 0
-        codes.append((np.repeat(own, n_types) * width + context)[some])
-        counts.append(trained[some].astype(np.int64))
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    customers = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64) if len(code) else np.zeros(0, np.int64)
+        words.append(np.repeat(own, n_types))
+        contexts.append(context)
+        counts.append(trained.astype(np.int64))
+    names, context = np.unique(np.concatenate(contexts), return_inverse=True)
+    width, trained = len(names) + 1, np.concatenate(counts)
+    some = trained > 0
+    code, at = np.unique(np.concatenate(words)[some] * width + context[some] + 1, return_inverse=True)
+    customers = np.bincount(at, trained[some], len(code)).astype(np.int64)
     word, alive = code // width, np.zeros(len(numbers), bool)
     alive[word] = True
-    kept = np.cumsum(alive) - 1
-    words = [w for w, y in zip(numbers, alive.tolist()) if y]
-    return rows(_SENT, [(table.column("key")[0].as_py(), 1, 0, pack(*_joined(words), kept[word].astype(np.uint32), (code % width).astype(np.uint32), customers))])
+    word, context = (np.cumsum(alive) - 1)[word], code % width
+    of_word = np.bincount(word, customers, int(alive.sum()))
+    sums = [customers.sum(), alive.sum(), (of_word == 1).sum(), (of_word == 2).sum(), (customers == 1).sum(), (customers == 2).sum()]
+    dishes = pack(*_joined([w for w, y in zip(numbers, alive.tolist()) if y]), word.astype(np.uint32), context.astype(np.uint32), customers)
+    sent = [(bucket, SUMS, 0, pack(np.array(sums, np.int64))), (bucket, DISHES, 0, dishes), (bucket, NAMES, 0, pack(names))]
+    total = np.bincount(context, customers, width).astype(np.int64)[1:]
+    sent += [(part, SENT, bucket, pack(names[a:z], total[a:z])) for part, a, z in _parts(names, n_parts)]
+    return rows(_SENT, sent)
+
+
+def _parts(names: np.ndarray, n_parts: int) -> list[tuple[int, int, int]]:
+    """Parts hold ranges of hashes: (part, first, end) of ascending hashes."""
+    part = ((names >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+    return [(int(part[a]), a, z) for a, z in _runs(part)]
+
+
+def _place(table: pa.Table) -> pa.Table:
+    """In a part: for every bucket that asked, the places of its contexts (as differences) and their customers."""
+    part, asked = table.column("key")[0].as_py(), [unpack(b) for b in table.column("blob").to_pylist()]
+    names, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    customers = np.bincount(at, np.concatenate([a[1] for a in asked]), len(names)).astype(np.int64)
+    places = np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
+    return rows(_SENT, [(b, PLACES, part, pack(np.diff(p, prepend=0).astype(np.uint32), customers[p])) for b, p in zip(table.column("chunk").to_pylist(), places)])
+
+
+def _add_tables(table: pa.Table, s: int) -> pa.Table:
+    """In a part: tables of its contexts in all buckets after sweep s, for every bucket that has them."""
+    part, asked = table.column("key")[0].as_py(), [unpack(b) for b in table.column("blob").to_pylist()]
+    places = [np.cumsum(a[0], dtype=np.int64) for a in asked]
+    tables = np.bincount(np.concatenate(places), np.concatenate([a[1] for a in asked])).astype(np.int64)
+    return rows(_SENT, [(b, TABLES + s, part, pack(tables[p])) for b, p in zip(table.column("chunk").to_pylist(), places)])
 
 
 def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -220,18 +229,19 @@ def draw_tables(c: np.ndarray, a: np.ndarray, parent: np.ndarray, d: float, stir
     return t
 
 
-def seatings(bucket: int, word: np.ndarray, context: np.ndarray, customers: np.ndarray, n_words: int, totals: Totals, sweeps: int):
-    """Yields tables of each dish, and the parent's customers and tables of each word, after the start and each sweep."""
+def seatings(bucket: int, word: np.ndarray, context: np.ndarray, customers: np.ndarray, n_words: int, totals: Totals, sweeps: int, seats=None):
+    """Yields tables of each dish, and the parent's customers and tables of each word, after the start and each sweep;
+    from ``seats`` (number of sweeps, tables of each dish and of each word) on, if given."""
     inner = context > 0
     direct = np.bincount(word[~inner], customers[~inner], n_words).astype(np.int64)
-    t2 = np.where(inner, 1, 0).astype(np.int64)
+    done, t2, t1 = seats or (0, np.where(inner, 1, 0).astype(np.int64), None)
     c1 = direct + np.bincount(word, t2, n_words).astype(np.int64)
-    t1 = np.minimum(c1, 1)
+    t1 = np.minimum(c1, 1) if t1 is None else t1
     yield t2, c1, t1
     d1, d2 = totals.root_discount, totals.discount
     s1, s2 = log_stirling(d1), log_stirling(d2)
     crowd = np.flatnonzero(inner & (customers > 1))  # one customer has one table
-    for s in range(sweeps):
+    for s in range(done, sweeps):
         rng = np.random.default_rng([SEED, bucket, s])
         all_c, all_t = totals.root[s]
         base = (STRENGTH_ROOT + d1 * all_t) / (totals.v + 1)
@@ -260,8 +270,55 @@ def _sweep(table: pa.Table, totals: Totals, sweeps: int):
         yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["restaurant", "n"])
 
 
-def _predict(asked: pa.Table, dishes: pa.Table, totals: Totals) -> pa.Table:
-    """For every chunk that asked: log10 probability of each of its types, and each of its words' training counts."""
+def _home(table: pa.Table) -> dict[int, list[np.ndarray]]:
+    """Arrays of a bucket by kind; those of parts one after the other, which is the order of contexts."""
+    found: dict[int, list] = {}
+    kinds, chunk, blobs = (table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))
+    for i in sorted(range(len(kinds)), key=lambda i: (kinds[i], chunk[i])):
+        found.setdefault(kinds[i], []).append((chunk[i], unpack(blobs[i])))
+    several = lambda kind: kind == PLACES or kind >= TABLES
+    return {
+        k: [np.array([c for c, _ in x]), np.array([len(a[0]) for _, a in x]), *(np.concatenate(a) for a in zip(*(a for _, a in x)))] if several(k) else x[0][1]
+        for k, x in found.items()
+    }
+
+
+def _local(home: dict[int, list[np.ndarray]], totals: Totals) -> Totals:
+    """Totals with those of the bucket's contexts; of sweeps whose tables are not at hand there are none."""
+    first = np.zeros(1, np.int64)  # number 0 has no restaurant
+    tables = tuple(np.concatenate([first, home[TABLES + s][2]]) if TABLES + s in home else first for s in range(len(totals.root)))
+    return Totals(totals.n, totals.v, totals.root_discount, totals.discount, np.concatenate([first, home[PLACES][3]]), tables, totals.root, home[NAMES][0] if NAMES in home else None)
+
+
+def _reseat(table: pa.Table, totals: Totals, s: int) -> pa.Table:
+    """A bucket after sweep s: seats, the root's customers and tables, and each part's contexts with their tables here."""
+    bucket, home = table.column("key")[0].as_py(), _home(table)
+    lengths, _, word, context, customers = home[DISHES]
+    word, context = word.astype(np.int64), context.astype(np.int64)
+    seats = (s - 1, *home[SEATS + s - 1]) if s else None
+    *_, (t2, c1, t1) = seatings(bucket, word, context, customers, len(lengths), _local(home, totals), s, seats)
+    part, n, steps, total = home[PLACES]
+    sums, ends = np.bincount(context, t2, len(total) + 1).astype(np.int64)[1:], np.cumsum(n)
+    sent = [(int(p), SENT + s, bucket, pack(steps[z - m : z], sums[z - m : z])) for p, m, z in zip(part, n, ends)]
+    return rows(_SENT, [(bucket, SUMS, 0, pack(np.array([c1.sum(), t1.sum()], np.int64))), (bucket, SEATS + s, 0, pack(t2, t1)), *sent])
+
+
+def _answer(asked: pa.Table, table: pa.Table, totals: Totals) -> pa.Table:
+    if not asked.num_rows:
+        return _SENT.empty_table()
+    home = _home(table)
+    lengths, _, word, context, customers = home[DISHES]
+    totals = _local(home, totals)
+    held = []
+    for s in range(SWEEPS - SAMPLES + 1, SWEEPS + 1):
+        t2, t1 = home[SEATS + s]
+        held += seatings(0, word.astype(np.int64), context.astype(np.int64), customers, len(lengths), totals, s, (s, t2, t1))
+    return _predict(asked, table.filter(pc.equal(table.column("kind"), DISHES)), totals, held)
+
+
+def _predict(asked: pa.Table, dishes: pa.Table, totals: Totals, held: Iterable | None = None) -> pa.Table:
+    """For every chunk that asked: log10 probability of each of its types, and each of its words' training counts. The
+    seatings of the averaged sweeps are ``held`` or drawn again."""
     if not asked.num_rows:
         return _SENT.empty_table()
     bucket = asked.column("key")[0].as_py()
@@ -276,9 +333,9 @@ def _predict(asked: pa.Table, dishes: pa.Table, totals: Totals) -> pa.Table:
     counted = np.append(np.bincount(word, customers, n_words).astype(np.int64), 0)  # the last is the unknown word
     code = word * width + context  # ascends
     probability, seen = [], []
-    for s, (t2, c1, t1) in enumerate(seatings(bucket, word, context, customers, n_words, totals, SWEEPS)):
-        if s <= SWEEPS - SAMPLES:
-            continue
+    if held is None:
+        held = list(seatings(bucket, word, context, customers, n_words, totals, SWEEPS))[-SAMPLES:]
+    for s, (t2, c1, t1) in enumerate(held, SWEEPS - SAMPLES + 1):
         all_c, all_t = totals.root[s]
         base = (STRENGTH_ROOT + d1 * all_t) / (totals.v + 1)
         probability.append((np.append(c1 - d1 * t1, 0) + base) / (STRENGTH_ROOT + all_c))
@@ -287,7 +344,7 @@ def _predict(asked: pa.Table, dishes: pa.Table, totals: Totals) -> pa.Table:
     for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("blob").to_pylist()):
         lengths, flat, n_types, contexts, _ = unpack(blob)
         own = np.fromiter((number.get(w, n_words) for w in _separate(lengths, flat)), np.int64, len(lengths))
-        w, u = np.repeat(own, n_types), contexts.astype(np.int64)
+        w, u = np.repeat(own, n_types), contexts.astype(np.int64) if totals.names is None else np.searchsorted(totals.names, contexts) + 1
         at = np.searchsorted(code, w * width + u)
         hit = (at < len(code)) & (w < n_words)
         hit[hit] = code[at[hit]] == (w * width + u)[hit]
@@ -323,57 +380,35 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     n_buckets = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    counted = stored(
-        texts.select("text", "learn").mapInArrow(lambda b: _count_words(b, n_buckets), _DDL).groupBy("key").applyInArrow(lambda t: _merge_words(t, CONTEXTS), _DDL),
-        "words",
-    )
-    sums = np.zeros(4, np.int64)
-    for r in counted.where("kind = 0").select("blob").toLocalIterator():  # four numbers for each bucket
-        sums += unpack(r["blob"])[0]
-    n, v, once, twice = (int(x) for x in sums)
-    frequent: list[tuple[int, bytes]] = []
-    for r in counted.where("kind = 1").select("blob").toLocalIterator():  # a bucket at a time; what is kept has at most CONTEXTS entries
-        lengths, flat, counts = unpack(r["blob"])
-        frequent += [(c, w) for w, c in zip(_separate(lengths, flat), counts.tolist()) if c * CONTEXTS >= n]
-    context_words = [w for _, w in sorted(frequent, reverse=True)]
-    width = len(context_words) + 1
-
-    encoded = stored(texts.mapInArrow(lambda b: _encode(b, n_buckets, context_words), _DDL), "types")
+    encoded = stored(texts.mapInArrow(lambda b: _encode(b, n_buckets), _DDL), "types")
     asked = encoded.where("kind = 1")
-    dishes = stored(asked.groupBy("key").applyInArrow(lambda t: _merge_types(t, width), _DDL), "dishes")
-
-    def statistics(batches):
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                _, _, _, context, customers = unpack(blob)
-                inner = context > 0
-                sums = np.bincount(context, customers, width).astype(np.int64)
-                names = np.concatenate([[-1, -2], np.arange(width)])
-                values = np.concatenate([[(customers[inner] == 1).sum(), (customers[inner] == 2).sum()], sums])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values)], names=["restaurant", "n"])
-
-    def summed(per_bucket: DataFrame) -> tuple[np.ndarray, int, int]:
-        found = np.zeros(width, np.int64)
-        extra = {-1: 0, -2: 0}
-        for r in per_bucket.groupBy("restaurant").agg(F.sum("n").alias("n")).collect():  # at most CONTEXTS + 3 rows
-            if r["restaurant"] < 0:
-                extra[r["restaurant"]] = r["n"]
-            else:
-                found[r["restaurant"]] = r["n"]
-        return found, extra[-1], extra[-2]
+    merged = stored(asked.groupBy("key").applyInArrow(lambda t: _merge_types(t, n_buckets), _DDL), "dishes")
+
+    def summed(df: DataFrame, size: int) -> list[int]:
+        sums = np.zeros(size, np.int64)
+        for r in df.where(F.col("kind") == SUMS).select("blob").toLocalIterator():  # a few numbers for each bucket
+            sums += unpack(r["blob"])[0]
+        return sums.tolist()
 
     discount = lambda one, two: float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
-    customers, single, double = summed(dishes.mapInArrow(statistics, "restaurant long, n long"))
-    totals = Totals(n, v, discount(once, twice), discount(single, double), customers)
+    n, v, once, twice, single, double = summed(merged, 6)
+    totals = Totals(n, v, discount(once, twice), discount(single, double), np.zeros(1, np.int64))
+    dishes = merged.where(F.col("kind") == DISHES)
+    places = stored(merged.where(F.col("kind") == SENT).groupBy("key").applyInArrow(_place, _DDL), "places")
+    held, samples = [], []
     for s in range(SWEEPS + 1):
-
-        def run(batches, totals=totals, s=s):
-            for b in batches:
-                yield from _sweep(pa.Table.from_batches([b]), totals, s)
-
-        tables, root_customers, root_tables = summed(dishes.mapInArrow(run, "restaurant long, n long"))
-        totals = Totals(n, v, totals.root_discount, totals.discount, customers, (*totals.tables, tables), (*totals.root, (root_customers, root_tables)))
-    answers = asked.groupBy("key").cogroup(dishes.groupBy("key")).applyInArrow(lambda a, d: _predict(a, d, totals), _DDL)
+        home = dishes.unionByName(places)
+        for df in held:
+            home = home.unionByName(df)
+        seated = stored(home.groupBy("key").applyInArrow(lambda t: _reseat(t, totals, s), _DDL), "seats")
+        tables = stored(seated.where(F.col("kind") == SENT + s).groupBy("key").applyInArrow(lambda t: _add_tables(t, s), _DDL), "tables")
+        totals = Totals(n, v, totals.root_discount, totals.discount, totals.customers, (), (*totals.root, tuple(summed(seated, 2))))
+        held = [seated.where(F.col("kind") == SEATS + s), tables]
+        samples += held if s > SWEEPS - SAMPLES else []
+    home = dishes.unionByName(places).unionByName(merged.where(F.col("kind") == NAMES))
+    for df in samples:
+        home = home.unionByName(df)
+    answers = asked.groupBy("key").cogroup(home.groupBy("key")).applyInArrow(lambda a, h: _answer(a, h, totals), _DDL)
     scored = (
         encoded.where("kind = 0")
         .groupBy("key")

@@ -167,6 +167,28 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_every_context_has_a_restaurant(spark):
+    """Pairs far rarer than a thousandth of the tokens: after its partner a word is likelier than another of the same count."""
+    from pyspark.sql import functions as F
+
+    train = [(i, f"a{i} b{i}") for i in range(1500)] * 3
+    asked = [(-1, "a3 b3"), (-2, "a3 b4"), (-3, "a700 b700"), (-4, "a700 b701")]
+    docs = spark.createDataFrame([*train, *asked], "doc_id long, text string").repartition(3)
+    score = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(docs, F.col("doc_id") >= 0).where("doc_id < 0").collect()}
+    assert score[-1] > score[-2] + 1 and score[-3] > score[-4] + 1
+
+
+def test_totals_of_contexts_across_buckets():
+    names = [np.array([3, 1 << 40, (1 << 64) - 1], np.uint64), np.array([1 << 40, 1 << 41], np.uint64)]
+    sent = [(0, pitman_yor.SENT, b, pack(x, np.arange(1, len(x) + 1))) for b, x in enumerate(names)]
+    assert [p for p, _, _ in pitman_yor._parts(names[0], 4)] == [0, 3]
+    placed = pitman_yor._place(pitman_yor.rows(pitman_yor._SENT, sent))
+    steps, customers = zip(*(unpack(b) for b in placed.column("blob").to_pylist()))
+    assert [c.tolist() for c in customers] == [[1, 3, 3], [3, 2]]
+    tables = pitman_yor.rows(pitman_yor._SENT, [(0, pitman_yor.SENT, b, pack(x, np.full(len(x), b + 1))) for b, x in enumerate(steps)])
+    assert [unpack(b)[0].tolist() for b in pitman_yor._add_tables(tables, 0).column("blob").to_pylist()] == [[1, 3, 1], [3, 2]]
+
+
 def test_stirling_numbers_and_table_draws():
     d = 0.5
     table = np.exp(pitman_yor.log_stirling(d, 4))
