@@ -11,10 +11,14 @@ number of tables ``t`` has the conditional weight
 
     (A | d)_t * parent(w)^t * S_d(c, t),    A = strength + d * other tables
 
-where ``S_d`` are generalised Stirling numbers. It is drawn from exactly these
-weights for up to ``EXACT`` customers; further customers of a dish are seated
-in sequence, in strides of a sixteenth of those already seated. Each table
-sends one customer to the parent. Sweeps are synchronous: the tables of the
+where ``S_d`` are generalised Stirling numbers. It is drawn from these weights
+for every ``c``: up to ``EXACT`` customers with the numbers by recurrence, beyond
+by a contour integral, since
+
+    S_d(c, t) = c! / (t! d^t) * [z^c] (1 - (1 - z)^d)^t
+
+(logarithms to about 1e-7, see the tests). Each table sends one customer to the
+parent. Sweeps are synchronous: the tables of the
 other dishes and the parent's probabilities are those after the last sweep. The
 predictive probabilities are averaged over the last ``SAMPLES`` sweeps.
 
@@ -51,7 +55,9 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import pack, shuffle_partitions, stored, unpack, whole_text
 from lodegraph.llm.packed import Numbers, chunks, rows
 
-EXACT = 48
+EXACT = 512
+#: Points of the contour integral and of the interpolation over tables; more tables than GRID are drawn from a grid.
+NODES, DEGREE, GRID = 41, 14, 1 << 14
 SWEEPS, SAMPLES = 4, 3
 STRENGTH_CONTEXT, STRENGTH_ROOT = 1.0, 1.0
 SEED = 20240607
@@ -207,25 +213,141 @@ def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
     return table
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+def _log_rest(s: np.ndarray, d: float) -> np.ndarray:
+    """log of 1 - (1 - e^-s)^d for s > 0"""
+    with np.errstate(all="ignore"):
+        part = np.where(s < 0.5, np.log(-np.expm1(-s)), np.log1p(-np.exp(-s)))
+    return np.log(-np.expm1(d * part))
+
+
+def _log_rest_at(x: np.ndarray, y: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for s = x + iy: real and imaginary part, in real numbers for their exactness near 0 and far from it."""
+    e, bow = np.exp(-x), 2 * np.sin(y / 2) ** 2
+    real = e * bow - np.expm1(-x)
+    near = (x < 0.5) | (e > 0.5)
+    size = 0.5 * np.where(near, np.log(np.where(near, np.expm1(-x) ** 2 + 2 * e * bow, 1)), np.log1p(np.where(near, 0, e * (e - 2 + 2 * bow))))
+    angle = d * np.arctan2(e * np.sin(y), real)
+    size = d * size
+    m = np.exp(size)
+    real, imaginary = 2 * m * np.sin(angle / 2) ** 2 - np.expm1(size), -m * np.sin(angle)
+    return 0.5 * np.log(real**2 + imaginary**2), np.arctan2(imaginary, real)
+
+
+def _slope(s: np.ndarray, d: float, rest: np.ndarray) -> np.ndarray:
+    """-d/ds of _log_rest"""
+    return d * np.exp((d - 1) * np.log(-np.expm1(-s)) - s - rest)
+
+
+def _bend(s: np.ndarray, d: float, slope: np.ndarray) -> np.ndarray:
+    """-d/ds of log _slope"""
+    return np.maximum(1 - slope + (1 - d) / np.expm1(s), 1e-300)
+
+
+def _falling_root(above, low: np.ndarray, high: np.ndarray, steps: int) -> np.ndarray:
+    for _ in range(steps):
+        middle = (low + high) / 2
+        up = above(np.exp(middle))
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    return np.exp((low + high) / 2)
+
+
+def log_coefficient(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log [z^c] (1 - (1 - z)^d)^t, also between whole t, by the integral over z = e^-s on a curve through the saddle point
+    that bends to the left around the cut s <= 0."""
+    s = _falling_root(lambda s: t * _slope(s, d, _log_rest(s, d)) > c, np.log(6 / c), np.full(c.shape, np.log(30.0)), 18)
+    rest = _log_rest(s, d)
+    slope = _slope(s, d, rest)
+    half = np.minimum(np.pi, np.minimum(12 * s, 1.4 * np.sqrt(74 / (t * slope * _bend(s, d, slope)))))
+    y = half[..., None] * np.linspace(0, 1, NODES)
+    s, c, t = s[..., None], c[..., None], t[..., None]
+    back = np.sin(y / 2) ** 2 / s
+    start = c * s + t * rest[..., None]
+    size, angle = _log_rest_at(s - back, y, d)
+    size, angle = t * (size - rest[..., None]) - c * back, c * y + t * angle
+    value = np.exp(size) * (np.cos(angle) - 0.5 * np.sin(y) / s * np.sin(angle))
+    value[..., [0, -1]] /= 2
+    return start[..., 0] + np.log(np.maximum(value.sum(axis=-1) * half / (NODES - 1) / np.pi, 1e-300))
+
+
+def _draw_many(c: np.ndarray, r: np.ndarray, parent: np.ndarray, d: float, rng) -> np.ndarray:
+    """Tables by the same weights, with r = a / d: gamma(r + t) / t! * parent^t * [z^c] (1 - (1 - z)^d)^t."""
+
+    def weight(t, c, r, p):
+        return _log_gamma(r + t) - _log_gamma(t + 1) + t * np.log(p) + log_coefficient(d, c, t)
+
+    def tables(s):
+        q = parent * np.exp(_log_rest(s, d))
+        return r * q / np.maximum(1 - q, 1e-300)
+
+    # The likeliest t and the deviation there, as a start.
+    s = _falling_root(lambda s: tables(s) * _slope(s, d, _log_rest(s, d)) > c, np.full(c.shape, -600.0), np.full(c.shape, np.log(30.0)), 50)
+    t = np.clip(tables(s), 1, c)
+    slope = _slope(s, d, _log_rest(s, d))
+    deviation = 1 / np.sqrt(np.maximum(slope / _bend(s, d, slope) / t + 1 / t - 1 / (r + t), 1e-300))
+    deviation = np.minimum(np.maximum(deviation, 0.5), 2 * t + 2)
+    ends = [np.maximum(1, np.floor(t - 8 * deviation - 2)), np.minimum(c, np.ceil(t + 8 * deviation + 2))]
+    top = weight(t, c, r, parent)
+    # Beyond an end the weights fall on, to less than e^-30 of the largest.
+    for i, bound in enumerate((np.ones_like(c), c)):
+        open_ = np.flatnonzero(ends[i] != bound)
+        while len(open_):
+            found = weight(ends[i][open_], c[open_], r[open_], parent[open_])
+            top[open_] = np.maximum(top[open_], found)
+            open_ = open_[found > top[open_] - 30]
+            ends[i][open_] = np.maximum(1, np.floor(ends[i][open_] / 2)) if i == 0 else np.minimum(c[open_], np.ceil(ends[i][open_] * 1.5))
+            open_ = open_[ends[i][open_] != bound[open_]]
+    low, high = ends
+    # Between the ends log weights, smooth in log t but for (c - t)!, are interpolated.
+    angle = np.pi * (np.arange(DEGREE) + 0.5) / DEGREE
+    middle, width = np.log(low * high) / 2, np.maximum(np.log(high / low) / 2, 1e-12)
+    at = np.clip(np.exp(middle[:, None] + width[:, None] * np.cos(angle)), low[:, None], high[:, None])
+    wide = [np.broadcast_to(x[:, None], at.shape) for x in (c, r, parent)]
+    smooth = weight(at, *wide) + _log_gamma(wide[0] - at + 1)
+    k = np.arange(DEGREE)
+    series = smooth @ np.cos(angle[:, None] * k) * np.where(k == 0, 1, 2) / DEGREE
+    drawn = np.empty(len(c), np.int64)
+    size = np.minimum(high - low + 1, GRID).astype(np.int64)
+    group = 1 << np.ceil(np.log2(size)).astype(np.int64)
+    for g in np.unique(group).tolist():
+        members = np.flatnonzero(group == g)
+        for own in np.split(members, range(step := max(1, (1 << 20) // g), len(members), step)):
+            # All t, or of very many ones evenly spaced.
+            gap = np.maximum((high - low)[own] / np.maximum(size[own] - 1, 1), 1)[:, None]
+            here = np.minimum(low[own, None] + gap * np.arange(g), high[own, None])
+            x = 2 * np.clip((np.log(here) - middle[own, None]) / width[own, None], -1, 1)
+            b1 = b2 = 0.0
+            for j in range(DEGREE - 1, 0, -1):
+                b1, b2 = series[own, j, None] + x * b1 - b2, b1
+            value = series[own, 0, None] + x * b1 / 2 - b2 - _log_gamma(c[own, None] - here + 1)
+            value[np.arange(g) >= size[own, None]] = -np.inf
+            total = np.exp(value - value.max(axis=1, keepdims=True)).cumsum(axis=1)
+            chosen = (total < (rng.random(len(own)) * total[:, -1])[:, None]).sum(axis=1)
+            near = np.where(gap[:, 0] > 1, rng.random(len(own)) - 0.5, 0) * gap[:, 0]
+            drawn[own] = np.clip(np.rint(here[np.arange(len(own)), chosen] + near), low[own], high[own])
+    return drawn
+
+
 def draw_tables(c: np.ndarray, a: np.ndarray, parent: np.ndarray, d: float, stirling: np.ndarray, rng) -> np.ndarray:
     """Tables of c customers of a dish, given a = strength + d * other tables and the parent's probability."""
     t = np.minimum(c, 1).astype(np.int64)
-    start = np.minimum(c, EXACT)
-    for size in np.unique(start[c > 1]).tolist():
-        which = np.flatnonzero(start == size)
+    for size in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
+        which = np.flatnonzero(c == size)
         for at in range(0, len(which), max(1, (1 << 20) // size)):
             own = which[at : at + max(1, (1 << 20) // size)]
             steps = np.log(np.maximum(a[own, None] + d * np.arange(size)[None, :], 1e-300))
             weight = np.cumsum(steps, axis=1) + np.arange(1, size + 1) * np.log(parent[own])[:, None] + stirling[size, 1 : size + 1]
             weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
             t[own] = 1 + (weight < (rng.random(len(own)) * weight[:, -1])[:, None]).sum(axis=1)
-    active, seated = np.flatnonzero(c > EXACT), EXACT
-    while len(active):
-        stride = np.minimum(c[active] - seated, max(1, seated // 16))
-        q = (a[active] + d * t[active]) * parent[active]
-        t[active] += rng.binomial(stride, q / (seated - d * t[active] + q))
-        seated += max(1, seated // 16)
-        active = active[c[active] > seated]
+    many = np.flatnonzero(c > EXACT)
+    for at in range(0, len(many), 512):
+        own = many[at : at + 512]
+        t[own] = _draw_many(c[own].astype(float), a[own] / d, parent[own], d, rng)
     return t
 
 

@@ -202,6 +202,33 @@ def test_stirling_numbers_and_table_draws():
     assert 1 <= big[0] < 10**9 and 1 < big[1] <= 5000 and big[2] == 1
 
 
+@pytest.mark.parametrize("d", [0.3, 0.8, 0.95])
+def test_table_draws_of_frequent_dishes(d):
+    """Against exact weights from the recurrence, for up to 10,000 customers."""
+    most, n = 400, 1000
+    t = np.arange(1, most + 1)
+    stirling, known = np.full(most + 1, -np.inf), pitman_yor.log_stirling(d)
+    stirling[0] = 0
+    for c in range(1, 10_001):
+        with np.errstate(divide="ignore"):
+            stirling[1:], stirling[0] = np.logaddexp(stirling[:-1], stirling[1:] + np.log(np.maximum(c - 1 - t * d, 0))), -np.inf
+        if c not in (100, 400, 1000, 3000, 10_000):
+            continue
+        possible = t[: min(c, most)].astype(float)
+        at = np.full(len(possible), float(c))
+        log_gamma = np.vectorize(math.lgamma)
+        whole = math.lgamma(c + 1) - log_gamma(possible + 1) - possible * math.log(d) + pitman_yor.log_coefficient(d, at, possible)
+        assert np.abs(whole - stirling[1 : len(possible) + 1]).max() < 1e-6
+        for a, p in ((500.0, 0.01), (5.0, 0.3), (2000.0, 0.02)):
+            weight = log_gamma(a / d + possible) + possible * math.log(d * p) + stirling[1 : len(possible) + 1]
+            weight = np.exp(weight - weight.max())
+            weight /= weight.sum()
+            mean = (weight * possible).sum()
+            deviation = math.sqrt((weight * (possible - mean) ** 2).sum())
+            drawn = pitman_yor.draw_tables(np.full(n, c), np.full(n, a), np.full(n, p), d, known, np.random.default_rng(c))
+            assert abs(drawn.mean() - mean) < 5 * deviation / math.sqrt(n) and abs(drawn.std() / deviation - 1) < 0.2, (c, a, p)
+
+
 def test_predictive_probabilities_sum_to_one():
     """In one bucket, after every context, over the vocabulary and one unknown word."""
     rng = np.random.default_rng(4)
