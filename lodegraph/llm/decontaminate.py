@@ -19,7 +19,9 @@ lower-cased; shingles are sequences of five words, hashed to 64 bits.
 
 Shingles that stand for 80 % of those of an item flip each bit of a fingerprint
 with probability below 0.16 (mean 10, deviation 3), so the radius leaves more
-than four deviations.
+than four deviations where shingles are distinct. A repeated shingle weighs more
+in a fingerprint; pairs in which the window or the item repeats one are
+candidates whenever they share a shingle, at any distance.
 
 The item side (shingles, block values) is broadcast after its rows have been
 counted and found below a bound; beyond it the joins shuffle. The document
@@ -168,6 +170,19 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int
         .select("doc_id", "text_hash", "n", "start", "item_id", "hamming")
         .distinct()
     )
+    # Fingerprints do not bound the similarity where shingles repeat: there, every item that shares one is verified.
+    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
+    owners = items.select("item_id", F.col("n").alias("m"), "item_print", repeats.alias("item_repeats"), F.explode(F.array_distinct("grams")).alias("h"))
+    sizes = items.where(repeats).select(F.col("n").alias("m")).distinct()
+    exploded = lambda df: df.select("doc_id", "text_hash", "n", "start", "window_print", repeats.alias("window_repeats"), F.explode(F.array_distinct("grams")).alias("h"))
+    some = exploded(windows.where(repeats)).unionByName(exploded(windows.where(~repeats).join(sizes, F.col("n") == F.col("m"), "left_semi")))
+    far = (
+        some.join(_item_side(owners).withColumnRenamed("h", "g"), F.expr("n = m and h = g"))
+        .where("window_repeats or item_repeats")
+        .select("doc_id", "text_hash", "n", "start", "item_id", hamming.alias("hamming"))
+        .distinct()
+    )
+    near = near.unionByName(far).distinct()
     keys = ["text_hash", "n", "start"]
     verified = (
         near.alias("c")

@@ -192,6 +192,16 @@ def test_main_path_is_native(spark, bench):
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_decontamination_of_long_items_with_a_repeated_tail(spark):
+    """The copies, or the items, end in a run of one word."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(12)]
+    copies = [(i, " ".join([*t.split()[:179], *["filler"] * 21])) for i, t in items]
+    for docs, benchmark in ((copies, items), (items, copies)):
+        found = decontaminate.find(make(spark, [(i, t, None) for i, t in docs]), spark.createDataFrame(benchmark, "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(12)}
+        assert all(r["similarity"] == pytest.approx(175 / 217) for r in found)
+
+
 def test_decontamination_oracle(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
