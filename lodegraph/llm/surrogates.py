@@ -67,7 +67,7 @@ _NUMBER = re.compile(
     re.ASCII,
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
-_SECRET = re.compile(r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-+/.=]{8,})")
+_SECRET = re.compile(r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>(?=[_\-+/.=]*[A-Za-z0-9])[A-Za-z0-9_\-+/.=]{8,})")
 _SECRET_WORD = re.compile(r"(?i)token|key|secret|passw")
 _NAME = re.compile(r"(?<!\w)(?P<title>" + "|".join(map(re.escape, TITLES)) + r") (?P<name>[^\W\d_]+(?:[ -][^\W\d_]+)?)")
 _DIGIT = re.compile(r"[0-9]")
@@ -190,7 +190,8 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
         check = next(f"{c:02d}" for c in range(2, 99) if iban_valid(f"{entity[:2]}{c:02d}{body}"))
         return f"{entity[:2]}{check}{body}"
     if kind == "secret":
-        return _shaped(entity, s, re.fullmatch(r"[0-9a-f]+", entity) is not None)
+        # Of letters or digits at least one; grows like an e-mail's local part, so that few of them never run out.
+        return _shaped(entity, s, re.fullmatch(r"[0-9a-f]+", entity) is not None) + "".join("abcdef"[_below(s, 6)] for _ in range(counter // 4))
     part, script, *sex = kind.split(":")
     if part == "given" and counter == 0:
         pool = NAMES[script, sex[0]]

@@ -314,3 +314,13 @@ def test_pipeline_stages_on_corner_cases(spark, corner, empty):
         assert stage(spark, empty, SF).count() == 0
     for name, stage in p.STAGES[2:]:
         assert stage(spark, corner, SF).count() == corner.count()
+
+
+def test_secrets_of_punctuation_and_of_one_digit(spark):
+    """Rules and blanks after a key word are no secrets, and secrets with a small space end."""
+    assert not surrogates.mentions("password: ________") and not surrogates.mentions("Password\n=========") and not surrogates.mentions("token = --------")
+    assert [m[3] for m in surrogates.mentions("password: _______7")] == ["_______7"]
+    assert all(surrogates.surrogate(b"k", "secret", "_______7", n) != "_______7" for n in (4, 9))
+    rows = [(i, f"password: _______{i}", None) for i in range(10)] + [(10, "password: ________", None)]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace(make(spark, rows), b"key").collect()}
+    assert out[10] == rows[10][1] and len(set(out.values())) == 11 and not {t for _, t, _ in rows[:10]} & set(out.values())
