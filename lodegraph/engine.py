@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import time
 import uuid
@@ -34,7 +35,7 @@ class Engine:
     def open(cls, spark: SparkSession, path: str) -> Engine:
         return cls(Graph.load(spark, path))
 
-    def query(self, text: str, select: list[str] | None = None, limit: int | None = None, ordered: bool = False, strategy: str = "flat", order: str = "scc", strict: bool = False) -> DataFrame:
+    def query(self, text: str, select: list[str] | None = None, limit: int | None = None, ordered: bool = False, strategy: str = "flat", order: str = "cost", strict: bool = False) -> DataFrame:
         """The result of a query as a DataFrame with a column for each variable, in order of first appearance."""
         query = normalize(parse(text))
         if strategy == "postfilter":
@@ -53,44 +54,65 @@ class Engine:
 
     def collect(self, text: str, timeout: float = 600.0, **options) -> list:
         """Rows of a query; cancelled and reported as :class:`QueryTimeout` after ``timeout`` seconds."""
+        with self._in_time(text, timeout):
+            return self.query(text, **options).collect()
+
+    def count(self, text: str, timeout: float = 600.0, **options) -> int:
+        """Number of rows of a query; none of them reaches the driver."""
+        with self._in_time(text, timeout):
+            return self.query(text, **options).count()
+
+    @contextlib.contextmanager
+    def _in_time(self, text: str, timeout: float):
+        """Jobs within are cancelled after ``timeout`` seconds, those that have not begun by then included."""
         sc = self.graph.triples.sparkSession.sparkContext
         group, late = f"query-{uuid.uuid4().hex}", threading.Event()
+        before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
 
         def cancel():
             late.set()
-            sc.cancelJobGroup(group)
+            sc._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
         timer = threading.Timer(timeout, cancel)
         sc.setJobGroup(group, text, True)
         timer.start()
         try:
-            rows = self.query(text, **options).collect()
+            yield
         except Exception as e:
             if late.is_set():
                 raise QueryTimeout(f"more than {timeout} s: {text}") from e
             raise
         finally:
             timer.cancel()
-            sc.setLocalProperty("spark.jobGroup.id", None)
+            for k, v in before.items():
+                sc.setLocalProperty(k, v)
         if late.is_set():
             raise QueryTimeout(f"more than {timeout} s: {text}")
-        return rows
 
     def counts(self, texts: list[str]) -> DataFrame:
         """``query_no, n`` of a batch of queries, as one plan."""
         parts = [self.query(t).agg(F.count("*").alias("n")).select(F.lit(i).cast("int").alias("query_no"), "n") for i, t in enumerate(texts, 1)]
         return reduce(DataFrame.unionByName, parts)
 
-    def run_file(self, path: str, timeout: float = 600.0) -> list[tuple[int, int, int]]:
-        """``(query number, results, nanoseconds)`` of every line of a query file; planning is timed, loading is not."""
+    def run_file(self, path: str, timeout: float = 600.0, limit: int | None = None, sink=None) -> list[tuple[int, int | None, int]]:
+        """``(query number, results, nanoseconds)`` of every line of a query file; planning is timed, loading is not.
+
+        Results are counted where they are. A query that takes longer than ``timeout`` has no number of results. Each line
+        goes to ``sink``, a text file open for writing, as ``number;results;nanoseconds`` when it is known.
+        """
         found = []
         for number, line in text_files.read_queries(path):
             start = time.perf_counter_ns()
-            n = len(self.collect(line, timeout))
+            try:
+                n = self.count(line, timeout, limit=limit)
+            except QueryTimeout:
+                n = None
             found.append((number, n, time.perf_counter_ns() - start))
+            if sink is not None:
+                print(text_files.stats_line(*found[-1]), file=sink, flush=True)
         return found
 
-    def describe(self, text: str, order: str = "scc") -> str:
+    def describe(self, text: str, order: str = "cost") -> str:
         """The query's patterns, its planned order and Spark's plan."""
         query = parse(text)
         normal = normalize(query)

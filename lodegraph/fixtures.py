@@ -18,7 +18,9 @@ from lodegraph.operators.graph import Graph
 from lodegraph.storage import new_path
 
 K = 10
-_OPEN: dict[tuple[str, str], Graph] = {}
+#: Lists of the workload.
+K_WORKLOAD = 50
+_OPEN: dict[tuple[str, str, int], Graph] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +75,12 @@ def derived_knn(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return knn_ops.build(vectors(spark, sf_dir), k)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a data folder, built and written once for each application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def graph(spark: SparkSession, sf_dir: str, k: int = K) -> Graph:
+    """The graph of a data folder with lists of k, built and written once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir, k)
     if key not in _OPEN:
         path = new_path(spark, "graph")
-        Graph(derived_triples(spark, sf_dir), derived_knn(spark, sf_dir), distinct=True).save(path)
+        Graph(derived_triples(spark, sf_dir), derived_knn(spark, sf_dir, k), distinct=True).save(path)
         _OPEN[key] = Graph.load(spark, path)
     return _OPEN[key]
 
@@ -107,20 +109,25 @@ select distinct s::bigint s, p::bigint p, o::bigint o from (
 PAIRS_CTE = """vec as (select vec_id+1 id, list_transform(embedding, lambda x: floor(x::double*10000)::bigint) v from embeddings),
 pairs as (select a.id src, b.id dst, list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))::bigint dd from vec a, vec b where a.id<>b.id)"""
 
-KNN_CTE = f"""{PAIRS_CTE},
+
+def knn_cte(k: int) -> str:
+    return f"""{PAIRS_CTE},
 knn as (select src::bigint src, dst::bigint dst, rank::int rank
-from (select *, row_number() over(partition by src order by dd, dst) rank from pairs) where rank<={K})"""
+from (select *, row_number() over(partition by src order by dd, dst) rank from pairs) where rank<={k})"""
+
+
+KNN_CTE = knn_cte(K)
 
 
-def oracle(text: str) -> str:
+def oracle(text: str, k: int = K) -> str:
     """DuckDB SQL of a query text: every pattern a table, every repeated variable an equality."""
     tables, where, first = [], [], {}
     for i, pattern in enumerate(x.split() for x in text.split(".") if x.strip()):
         a, middle, b = pattern
         if middle[0] in "kb":
-            k = 1 if middle[0] == "b" else int(middle[1:])
+            most = 1 if middle[0] == "b" else int(middle[1:])
             tables.append(f"knn t{i}")
-            where.append(f"t{i}.rank <= {k}")
+            where.append(f"t{i}.rank <= {most}")
             terms = (("src", a), ("dst", b))
         else:
             tables.append(f"triples t{i}")
@@ -132,6 +139,6 @@ def oracle(text: str) -> str:
                 where.append(f"t{i}.{column} = {first[term[1:]]}")
             else:
                 first[term[1:]] = f"t{i}.{column}"
-    ctes = [cte for cte, name in ((TRIPLES_CTE, "triples t"), (KNN_CTE, "knn t")) if any(t.startswith(name) for t in tables)]
+    ctes = [cte for cte, name in ((TRIPLES_CTE, "triples t"), (knn_cte(k), "knn t")) if any(t.startswith(name) for t in tables)]
     columns = ", ".join(f'{c} as "{v}"' for v, c in first.items()) or "1::int as matched"
     return f"with {', '.join(ctes)}\nselect distinct {columns} from {', '.join(tables)}" + (f" where {' and '.join(where)}" if where else "")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors in a block; a task compares two blocks.
-BLOCK = 4096
-_STEP = 256
+#: Vectors in a block at most; a task compares two blocks, and a vector is sent once for each block of the other side.
+BLOCK = 1 << 16
+#: Distances that are held at once.
+_CELLS = 1 << 21
 _BEST = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("dd", pa.int64())])
 
 
@@ -25,7 +26,9 @@ def build(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     Every pair of blocks is one task's work, with its own k best for each source;
     a window merges them. Rows travel in blocks, never as pairs.
     """
-    n = max(1, -(-vectors.count() // block))
+    spark = vectors.sparkSession
+    enough = int(np.ceil(np.sqrt(spark.sparkContext.defaultParallelism)))  # every core gets a pair of blocks
+    n = max(1, -(-vectors.count() // block), enough)
     dealt = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     sides = (
         dealt.select(F.col("b").alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("db"), F.lit(True).alias("is_source"), "id", "v")
@@ -37,29 +40,40 @@ def build(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         ids = table.column("id").to_numpy()
         values = table.column("v").combine_chunks()
         v = values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
-        src, dst = ids[is_source], ids[~is_source]
-        if not len(src) or not len(dst):
+        if not is_source.any() or is_source.all():
             return _BEST.empty_table()
-        a, b = v[is_source], v[~is_source]
-        # Products of doubles are exact up to 2**53; larger components use integers.
-        exact = float(np.abs(v).max(initial=0)) ** 2 * 4 * max(1, v.shape[1]) < 2**53
-        a2, b2 = (a * a).sum(1), (b * b).sum(1)
-        af, bf = (a.astype(float), b.astype(float).T) if exact else (a, b.T)
-        found = []
-        for at in range(0, len(src), _STEP):
-            dd = a2[at : at + _STEP, None] + b2[None, :] - 2 * (af[at : at + _STEP] @ bf).astype(np.int64)
-            for i, row in enumerate(dd):
-                me = src[at + i]
-                kept = np.arange(len(row)) if len(row) <= k + 1 else np.flatnonzero(row <= np.partition(row, k)[k])
-                kept = kept[dst[kept] != me]
-                kept = kept[np.lexsort((dst[kept], row[kept]))][:k]
-                found.append((np.full(len(kept), me), dst[kept], row[kept]))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found)], schema=_BEST)
+        src, a = ids[is_source], v[is_source]
+        order = np.argsort(ids[~is_source], kind="stable")
+        dst, b = ids[~is_source][order], v[~is_source][order]
+        return nearest(src, a, dst, b, k)
 
     best = sides.groupBy("sb", "db").applyInArrow(cell, "src long, dst long, dd long")
     return ranked(best, "src", ["dd", "dst"], k).select("src", "dst", "rank")
 
 
+def nearest(src: np.ndarray, a: np.ndarray, dst: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
+    """The k nearest targets of every source; targets ascend, so that the first of equal distances is the smallest id."""
+    # Products of doubles are exact up to 2**53; larger components use integers.
+    most = float(max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))) ** 2 * 4 * max(1, a.shape[1])
+    if most * (len(dst) + 1) >= 2**63:
+        raise ValueError("distances do not fit into 64 bits")
+    a2, b2 = (a * a).sum(1), (b * b).sum(1)
+    af, bf = (a.astype(float), b.astype(float).T) if most < 2**53 else (a, b.T)
+    m, width, found = len(dst), min(k, len(dst)), []
+    step = max(1, _CELLS // m)
+    for at in range(0, len(src), step):
+        dd = a2[at : at + step, None] + b2[None, :] - 2 * (af[at : at + step] @ bf).astype(np.int64)
+        # Distance and place in one number: distinct, in the order of (distance, id).
+        key = dd * m + np.arange(m)
+        me = src[at : at + step, None]
+        key[dst == me] = np.iinfo(np.int64).max  # no neighbour of itself
+        if width < m:
+            key = np.partition(key, width - 1, axis=1)[:, :width]
+        kept = key != np.iinfo(np.int64).max
+        found.append((np.broadcast_to(me, key.shape)[kept], dst[(key % m)[kept]], (key // m)[kept]))
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*found)], schema=_BEST)
+
+
 def ranked(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
     """The first k rows of each key; Catalyst keeps only these before and after the shuffle."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

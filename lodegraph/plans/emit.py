@@ -15,7 +15,7 @@ _log = logging.getLogger(__name__)
 def scan(graph, pattern: Pattern, at: int, strict: bool = False) -> DataFrame:
     """The rows of one pattern, with columns of its own for its variables: constants and repeats become filters."""
     if isinstance(pattern, TriplePattern):
-        df, columns = graph.triples, dict(pattern.terms)
+        df, columns = triples(graph, pattern), dict(pattern.terms)
     else:
         df, columns = neighbours(graph, pattern, strict), dict(pattern.terms)
     first: dict[str, str] = {}
@@ -31,6 +31,13 @@ def scan(graph, pattern: Pattern, at: int, strict: bool = False) -> DataFrame:
     return df.select(*(F.col(c).alias(f"__{at}_{v}") for v, c in first.items()))
 
 
+def triples(graph, p: TriplePattern) -> DataFrame:
+    """The copy of the triples that the pattern's constants prune best."""
+    if isinstance(p.p, Const):
+        return graph.triples
+    return graph.by_subject if isinstance(p.s, Const) else graph.by_object if isinstance(p.o, Const) else graph.triples
+
+
 def neighbours(graph, p: PairPattern, strict: bool = False) -> DataFrame:
     """``src, dst`` of a similarity clause, one-directional or mutual."""
     most = max(p.forward, p.backward)
@@ -39,7 +46,10 @@ def neighbours(graph, p: PairPattern, strict: bool = False) -> DataFrame:
             raise ValueError(f"k = {most} is larger than the graph's {graph.max_k}")
         _log.warning("k = %d is larger than the graph's %d: no result", most, graph.max_k)
         return graph.knn.where(F.lit(False)).select("src", "dst")
-    forward = graph.knn.where(F.col("rank") <= F.lit(p.forward)).select("src", "dst")
+    if p.backward and graph.mutual is not None:
+        return graph.mutual.where((F.col("rank_fwd") <= F.lit(p.forward)) & (F.col("rank_bwd") <= F.lit(p.backward))).select("src", "dst")
+    lists = graph.knn_by_target if isinstance(p.o, Const) and not isinstance(p.s, Const) else graph.knn
+    forward = lists.where(F.col("rank") <= F.lit(p.forward)).select("src", "dst")
     if not p.backward:
         return forward
     backward = graph.knn.where(F.col("rank") <= F.lit(p.backward)).select(F.col("dst").alias("__s"), F.col("src").alias("__d"))

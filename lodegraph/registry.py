@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lodegraph import fixtures
 from lodegraph.engine import Engine
-from lodegraph.fixtures import KNN_CTE, TRIPLES_CTE, oracle
+from lodegraph.fixtures import K_WORKLOAD, KNN_CTE, TRIPLES_CTE, oracle
 from lodegraph.operators import knn as knn_ops
 from lodegraph.operators import stats
-from lodegraph.sources import rdf, text
+from lodegraph.operators.intersect import in_at_least
+from lodegraph.plans.planner import ORDERS
+from lodegraph.sources import lists, rdf, text
 from lodegraph.storage import new_path
 
 F1 = "?a 6 70000001 . ?a 69 ?i . ?b 7 71000001 . ?b 69 ?j . ?i k5 ?j"
@@ -56,11 +58,31 @@ TEXTS = {
     "sim_minus_k": "?x k5 ?y . ?x k9 ?y",
     "sim_beyond_k": "?x k11 ?y",
 }
+#: Shapes of a workload with long lists: two stars (a) or three (b) that similarity links one way, both ways or in a triangle,
+#: similarity between two values of one node (c), and the same with every statement about the node (d).
+_STAR_A, _STAR_B, _STAR_C = "?a 6 70000001 . ?a 69 ?i", "?b 7 71000001 . ?b 8 72000002 . ?b 69 ?j", "?c 2 50000003 . ?c 69 ?l"
+WORKLOAD = {
+    "k50_a": f"{_STAR_A} . {_STAR_B} . ?i k50 ?j",
+    "k50_a_mutual": f"{_STAR_A} . {_STAR_B} . ?i k50 ?j . ?j k50 ?i",
+    "k50_b": f"{_STAR_A} . {_STAR_B} . {_STAR_C} . ?i k50 ?j . ?i k50 ?l",
+    "k50_b_mutual": f"{_STAR_A} . {_STAR_B} . {_STAR_C} . ?i k50 ?j . ?j k50 ?i . ?i k50 ?l . ?l k50 ?i",
+    "k50_b_triangle": f"{_STAR_A} . {_STAR_B} . {_STAR_C} . ?i k50 ?j . ?i k50 ?l . ?j k50 ?l",
+    "k50_c": "?o 4 ?a . ?a 69 ?i . ?a 69 ?j . ?i k50 ?j",
+    "k50_c_mutual": "?o 4 ?a . ?a 69 ?i . ?a 69 ?j . ?i k50 ?j . ?j k50 ?i",
+    "k50_d": "?a 6 70000001 . ?a 69 ?i . ?a 69 ?j . ?i k50 ?j . ?a ?vl1 ?vl2",
+}
+#: The ways in which a similarity clause meets what is bound when patterns go first.
+POSTFILTER = {
+    "postfilter_expand": "?a 6 70000001 . ?a 69 ?i . ?i k5 ?j",
+    "postfilter_expand_inverse": "?a 6 70000001 . ?a 69 ?j . ?i k5 ?j",
+    "postfilter_product": "?n 1 51000001 . ?x k2 ?y",
+    "postfilter_filter": "?a 69 ?i . ?a 69 ?j . ?i k10 ?j",
+}
 BATCH = (F1, TEXTS["bgp_chain"], TEXTS["sim_best"], TEXTS["knn_mutual_const"], TEXTS["scan_vcc"])
 
 
-def _run(spark: SparkSession, sf_dir: str, query: str, **options) -> DataFrame:
-    return Engine(fixtures.graph(spark, sf_dir)).query(query, **options)
+def _run(spark: SparkSession, sf_dir: str, query: str, k: int = fixtures.K, **options) -> DataFrame:
+    return Engine(fixtures.graph(spark, sf_dir, k)).query(query, **options)
 
 
 def src_triples(spark, sf_dir):
@@ -87,17 +109,43 @@ def knn_inverse(spark, sf_dir):
 
 def knn_truncate(spark, sf_dir):
     knn = fixtures.graph(spark, sf_dir).knn
-    return knn_ops.truncated(knn.where("(src + dst) % 3 <> 0").select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.col("rank").alias("pos")), 4)
+    return knn_ops.truncated(knn.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.col("rank").alias("pos")), 4)
 
 
 def knn_symmetric(spark, sf_dir):
-    knn = fixtures.graph(spark, sf_dir).knn.where("rank <= 3")
+    knn = fixtures.graph(spark, sf_dir).knn
     pairs = knn.select(F.least("src", "dst").alias("e1"), F.greatest("src", "dst").alias("e2"), (F.abs(F.col("src") - F.col("dst")) % 97).cast("double").alias("dist")).distinct()
     return knn_ops.symmetric(pairs, 5)
 
 
 def knn_fused(spark, sf_dir):
-    return knn_ops.fused(fixtures.graph(spark, sf_dir).knn)
+    return fixtures.graph(spark, sf_dir).mutual
+
+
+def knn_convert(spark, sf_dir):
+    """A file of pairs of terms, encoded and cut."""
+    path, term = new_path(spark, "pairs-text"), lambda c: F.concat(F.lit("<image/"), (F.col(c) * 7).cast("string"), F.lit(">"))
+    knn = fixtures.graph(spark, sf_dir).knn
+    knn.orderBy(F.desc("src"), "rank").select(F.concat_ws(" ", term("src"), term("dst")).alias("value")).write.text(path)
+    return lists.read_pairs(spark, path, fixtures.vectors(spark, sf_dir).select("id", term("id").alias("term")), 6)
+
+
+def knn_padded(spark, sf_dir):
+    return lists.padded(fixtures.graph(spark, sf_dir).knn, 12).select("src", F.concat_ws(" ", F.col("list").cast("array<string>")).alias("list"))
+
+
+def knn_distances(spark, sf_dir):
+    """A file of pairs with distances, farthest lists first."""
+    path = new_path(spark, "distances-text")
+    line = F.concat(F.lit("('"), F.col("src"), F.lit("#"), F.col("dst"), F.lit("', 0."), F.col("rank"), F.lit(")"))
+    fixtures.graph(spark, sf_dir).knn.orderBy("rank", F.desc("src")).select(line.alias("value")).write.text(path)
+    return lists.read_distances(spark, path, 8)[0]
+
+
+def t_of_n(spark, sf_dir):
+    """Images of two or more of a brand, a language and a nation."""
+    texts = ("?a 6 70000001 . ?a 69 ?i", "?b 7 71000001 . ?b 69 ?i", "?c 2 50000003 . ?c 69 ?i")
+    return in_at_least([_run(spark, sf_dir, t, select=["i"]) for t in texts], 2)
 
 
 def stats_predicate(spark, sf_dir):
@@ -170,11 +218,18 @@ def queries() -> dict:
         "knn_truncate": knn_truncate,
         "knn_symmetric": knn_symmetric,
         "knn_fused": knn_fused,
+        "knn_convert": knn_convert,
+        "knn_padded": knn_padded,
+        "knn_distances": knn_distances,
+        "t_of_n": t_of_n,
         "strategy_postfilter": partial(_run, query=TEXTS["sim_join_bi"], strategy="postfilter"),
         "strategy_semijoin": partial(_run, query=TEXTS["sim_triangle"], strategy="semijoin"),
         "order_simple": partial(_run, query=TEXTS["sim_chain"], order="simple"),
         "order_weight": partial(_run, query=TEXTS["sim_chain"], order="weight"),
         "order_sets": partial(_run, query=TEXTS["sim_lonely"], order="sets"),
+        **{name: partial(_run, query=query, k=K_WORKLOAD) for name, query in WORKLOAD.items()},
+        **{name: partial(_run, query=query, strategy="postfilter") for name, query in POSTFILTER.items()},
+        **{f"order_{order}_fork": partial(_run, query=TEXTS["sim_fork"], order=order) for order in ORDERS[1:]},
         "stats_predicate": stats_predicate,
         "stats_graph": lambda spark, sf_dir: stats.of_graph(fixtures.graph(spark, sf_dir).triples),
         "stats_knn": lambda spark, sf_dir: stats.of_knn(fixtures.graph(spark, sf_dir).knn),
@@ -201,8 +256,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_build": f"with {KNN_CTE} select src, dst, rank from knn",
         "knn_graph": f"with {KNN_CTE} select src, dst, rank from knn",
         "knn_inverse": f"with {KNN_CTE} select dst, {rank.format('dst', 'rank, src')} pos, src, rank from knn",
-        "knn_truncate": f"with {KNN_CTE} select * from (select src, dst, {rank.format('src', 'knn.rank, dst')} rank from knn where (src + dst) % 3 <> 0) where rank <= 4",
-        "knn_symmetric": f"""with {KNN_CTE}, e as (select distinct least(src, dst) a, greatest(src, dst) b, abs(src - dst) % 97 d from knn where rank <= 3),
+        "knn_truncate": f"with {KNN_CTE} select * from (select src, dst, {rank.format('src', 'knn.rank, dst')} rank from knn) where rank <= 4",
+        "knn_symmetric": f"""with {KNN_CTE}, e as (select distinct least(src, dst) a, greatest(src, dst) b, abs(src - dst) % 97 d from knn),
 u as (select a src, b dst, d from e union select b, a, d from e)
 select * from (select src, dst, {rank.format('src', 'd, dst')} rank from u) where rank <= 5""",
         "knn_fused": f"with {KNN_CTE} select a.src, a.dst, a.rank rank_fwd, b.rank rank_bwd from knn a join knn b on a.src = b.dst and a.dst = b.src",
@@ -211,6 +266,17 @@ select * from (select src, dst, {rank.format('src', 'd, dst')} rank from u) wher
         "order_simple": oracle(TEXTS["sim_chain"]),
         "order_weight": oracle(TEXTS["sim_chain"]),
         "order_sets": oracle(TEXTS["sim_lonely"]),
+        **{name: oracle(query, K_WORKLOAD) for name, query in WORKLOAD.items()},
+        **{name: oracle(query) for name, query in POSTFILTER.items()},
+        **{f"order_{order}_fork": oracle(TEXTS["sim_fork"]) for order in ORDERS[1:]},
+        "knn_convert": f"with {KNN_CTE} select src, dst, rank from knn where rank <= 6",
+        "knn_padded": f"with {KNN_CTE} select src, string_agg(dst::varchar, ' ' order by rank) || repeat(' 0', (12 - count(*))::bigint) list from knn group by src",
+        "knn_distances": f"""with {KNN_CTE}, l as (select src, dst, row_number() over (order by rank, src desc) line from knn),
+e as (select src entity, dst other, 2 * line at from l union all select dst, src, 2 * line + 1 from l),
+n as (select entity, row_number() over (order by min(at)) id from e group by entity),
+r as (select *, {rank.format('entity', 'at')} rank from e)
+select a.id::bigint src, b.id::bigint dst, rank from r join n a on a.entity = r.entity join n b on b.entity = r.other where rank <= 8""",
+        "t_of_n": "select value, count(*) n from (" + " union all ".join(f"select distinct i as value from ({oracle(t)})" for t in ("?a 6 70000001 . ?a 69 ?i", "?b 7 71000001 . ?b 69 ?i", "?c 2 50000003 . ?c 69 ?i")) + ") group by value having count(*) >= 2",
         "stats_predicate": f"with {TRIPLES_CTE} select p, count(*) n, count(distinct s) n_s, count(distinct o) n_o from triples group by p",
         "stats_graph": f"with {TRIPLES_CTE} select count(*) n_triples, max(s) max_s, max(p) max_p, max(o) max_o from triples",
         "stats_knn": f"with {KNN_CTE} select max(rank)::int max_k, count(distinct src) nodes, count(*) n_edges from knn",

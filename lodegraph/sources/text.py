@@ -17,11 +17,11 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", "s", "p", "o").alias("value")).write.text(path)
 
 
-def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
-    """Line i holds the neighbours of node i, nearest first; zeros are padding.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, line``: the lines of text files, numbered from 1.
 
-    Lines are numbered without a global sort: the splits of the files, in order of
-    file and offset, get offsets from their line counts (a row for each split).
+    There is no global sort: the splits of the files, in order of file and offset,
+    get offsets from their line counts (a row for each split).
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
@@ -32,7 +32,12 @@ def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
         offsets.append((r["file"], r["block"], done + 1 - r["first"]))
         done += r["n"]
     base = F.broadcast(spark.createDataFrame(offsets, "file string, block long, shift long"))
-    numbered = lines.join(base, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("src"), F.split(F.trim("value"), r"\s+").alias("list"))
+    return lines.join(base, ["file", "block"]).select("value", (F.col("at") + F.col("shift")).alias("line"))
+
+
+def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """Line i holds the neighbours of node i, nearest first; zeros are padding."""
+    numbered = numbered_lines(spark, path).select(F.col("line").alias("src"), F.split(F.trim("value"), r"\s+").alias("list"))
     return (
         numbered.select("src", F.posexplode("list").alias("pos", "dst"))
         .where("dst <> '' and dst <> '0'")
@@ -62,3 +67,8 @@ def formatted(df: DataFrame) -> DataFrame:
 
 def write_result(df: DataFrame, path: str) -> None:
     formatted(df).write.text(path)
+
+
+def stats_line(number: int, results: int | None, nanoseconds: int) -> str:
+    """``number;results;nanoseconds``; results are empty where the query took too long."""
+    return f"{number};{'' if results is None else results};{nanoseconds}"

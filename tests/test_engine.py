@@ -110,5 +110,41 @@ def test_save_load_and_query_file(graph, spark, tmp_path):
     assert all(ns > 0 for *_, ns in found)
     plan = engine.query("1 69 ?y")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan and "PushedFilters: [IsNotNull(s)" in plan
+    with open(tmp_path / "stats", "w") as sink:
+        limited = engine.run_file(str(tmp_path / "q.tsv"), limit=2, sink=sink)
+    lines = [x.split(";") for x in (tmp_path / "stats").read_text().splitlines()]
+    assert [(int(a), int(b)) for a, b, _ in lines] == [(a, b) for a, b, _ in limited] and [b for _, b, _ in limited] == [2, 2]
     text_files.write_result(engine.query("?x 1 ?y"), str(tmp_path / "res"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "res")).collect()) == ["?x=1 ?y=2", "?x=2 ?y=3", "?x=5 ?y=5"]
+
+
+def test_written_copies_prune_and_hold_the_same(graph, spark, tmp_path):
+    graph.save(str(tmp_path / "g"))
+    engine = Engine.open(spark, str(tmp_path / "g"))
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    loaded = engine.graph
+    assert rows(loaded.triples, "s", "p", "o") == rows(loaded.by_subject, "s", "p", "o") == rows(loaded.by_object, "s", "p", "o") == sorted(set(TRIPLES))
+    assert rows(loaded.knn, "src", "dst", "rank") == rows(loaded.knn_by_target, "src", "dst", "rank")
+    assert loaded.statistics == graph.statistics
+    plan = lambda text: engine.query(text)._jdf.queryExecution().executedPlan().toString()
+    read = lambda text: {f.split("/g/")[1].split("/")[0] for f in engine.query(text).inputFiles()}
+    assert read("1 ?p ?o") == read("1 ?p 2") == {"by_subject"} and "EqualTo(s,1)" in plan("1 ?p ?o")
+    assert read("?x ?p 2") == {"by_object"} and "EqualTo(o,2)" in plan("?x ?p 2") and read("?x 1 ?y") == {"triples"}
+    assert read("?x k2 4") == {"knn_by_target"} and read("4 k2 ?x") == {"knn"}
+    assert read("?x k2 ?y . ?y k3 ?x") == {"mutual"} and "Join" not in plan("?x k2 ?y . ?y k3 ?x")
+    for text in CASES:
+        if parse(text).variables:
+            assert {tuple(r) for r in engine.query(text).collect()} == nested_loops(text)
+
+
+def test_a_query_that_has_not_begun_is_cancelled_too(graph, monkeypatch):
+    """The time runs out while the query is planned, when none of its jobs runs."""
+    import time
+
+    engine = Engine(graph)
+    query = engine.query
+    monkeypatch.setattr(engine, "query", lambda *a, **b: (time.sleep(0.5), query(*a, **b))[1])
+    with pytest.raises(QueryTimeout):
+        engine.count("?a ?b ?c . ?d ?e ?f . ?g ?h ?i . ?j ?k ?l . ?m ?n ?o . ?p ?q ?r", timeout=0.1)
+    assert graph.triples.sparkSession.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    assert engine.count("?x 1 ?y") == 3

@@ -82,3 +82,13 @@ def test_similarity_source_before_target_and_lonely_last():
     assert set(order[-2:]) == {"vl1", "vl2"}
     with pytest.raises(ValueError):
         variable_order(q, ST, "other")
+
+
+def test_orders_give_plans_of_their_own():
+    from lodegraph.registry import TEXTS
+
+    st = Statistics(170_000, {1: (25, 25, 5), 2: (2500, 2500, 25), 3: (15_000, 15_000, 1500), 4: (60_000, 15_000, 2000), 5: (60_000, 15_000, 100), 6: (2000, 2000, 25), 7: (1000, 1000, 4), 8: (1000, 1000, 7), 9: (1000, 1000, 10), 69: (5100, 3000, 1000), 12: (1000, 1000, 500)}, 1000, 10)
+    plans = {o: [repr(pattern_order(normalize(parse(t)), st, o)) for t in TEXTS.values()] for o in ORDERS}
+    for a in ORDERS:
+        for b in ORDERS:
+            assert a == b or plans[a] != plans[b], (a, b)

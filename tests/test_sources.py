@@ -1,10 +1,14 @@
 """Text files, dictionaries and the kNN graph's construction."""
 
+import logging
+
 import numpy as np
+import pytest
 
 from lodegraph.operators import knn as knn_ops
+from lodegraph.operators.intersect import in_at_least
 from lodegraph.operators.numbering import numbered
-from lodegraph.sources import rdf, text
+from lodegraph.sources import lists, rdf, text
 
 
 def test_triples_file_with_repeated_last_line(spark, tmp_path):
@@ -74,3 +78,47 @@ def test_symmetric_and_truncated_lists(spark):
     assert sorted(map(tuple, knn_ops.symmetric(pairs, 1).collect())) == [(1, 3, 1), (2, 3, 1), (3, 2, 1)]
     lists = spark.createDataFrame([(1, 5, 3), (1, 6, 1), (2, 7, 1)], "n1 long, n2 long, pos int")
     assert sorted(map(tuple, knn_ops.truncated(lists, 1).collect())) == [(1, 6, 1), (2, 7, 1)]
+
+
+def test_lists_from_pairs_of_terms(spark, tmp_path, caplog):
+    """Short lists, lists that are cut, terms that the dictionary lacks."""
+    (tmp_path / "p.tsv").write_text("<b> <a>\n<b>  <c>\n<b> <d>\n\n<a> <c>\n<x> <a>\n<c> <x>\n<c> <b>\n")
+    nodes = spark.createDataFrame([(1, "<a>"), (2, "<b>"), (3, "<c>"), (4, "<d>")], "id long, term string")
+    knn = lists.read_pairs(spark, str(tmp_path / "p.tsv"), nodes, 2)
+    assert sorted(map(tuple, knn.collect())) == [(1, 3, 1), (2, 1, 1), (2, 3, 2), (3, 2, 1)]
+    with caplog.at_level(logging.WARNING):
+        lists.write_padded(knn, 2, str(tmp_path / "out"))
+    assert "2 lists are shorter than k = 2" in caplog.text
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["3 0", "1 3", "2 0"]
+
+
+def test_lists_from_distances(spark, tmp_path):
+    """Both directions in the order of the lines, entities numbered as they appear."""
+    (tmp_path / "d.txt").write_text("('70#30', 0.1)\nnothing\n('70#50', 0.2)\n('30#50', 0.3)\n('70#90', 0.4)\n")
+    knn, entities = lists.read_distances(spark, str(tmp_path / "d.txt"), 2)
+    assert sorted(map(tuple, entities.collect())) == [(1, 70), (2, 30), (3, 50), (4, 90)]
+    assert sorted(map(tuple, knn.collect())) == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2), (4, 1, 1)]
+
+
+def test_values_in_some_of_many_sets(spark):
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "x long")
+    sets = [one(1, 1, 2, 3), one(2, 3, 3), one(3, 4)]
+    assert sorted(map(tuple, in_at_least(sets).collect())) == [(3, 3)]
+    assert sorted(map(tuple, in_at_least(sets, 2).collect())) == [(2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_nearest_neighbours_with_ties(spark, block):
+    rng = np.random.default_rng(block)
+    v = rng.integers(0, 3, (60, 4))
+    df = spark.createDataFrame([(i + 1, [int(x) for x in r]) for i, r in enumerate(v)], "id long, v array<long>")
+    got = sorted(map(tuple, knn_ops.build(df, 5, block).collect()))
+    want = []
+    for i, a in enumerate(v):
+        near = sorted((int(((a - b) ** 2).sum()), j + 1) for j, b in enumerate(v) if j != i)[:5]
+        want += [(i + 1, j, r) for r, (_, j) in enumerate(near, 1)]
+    assert got == sorted(want)
+    few = sorted(map(tuple, knn_ops.build(df.where("id <= 3"), 5, block).collect()))
+    assert [(s, r) for s, _, r in few] == [(s, r) for s in (1, 2, 3) for r in (1, 2)] or len(few) == 6
+    with pytest.raises(Exception, match="64 bits"):
+        knn_ops.build(spark.createDataFrame([(1, [2**40]), (2, [0])], "id long, v array<long>"), 1).collect()
