@@ -272,9 +272,9 @@ select * from (select src, dst, {rank.format('src', 'd, dst')} rank from u) wher
         "knn_convert": f"with {KNN_CTE} select src, dst, rank from knn where rank <= 6",
         "knn_padded": f"with {KNN_CTE} select src, string_agg(dst::varchar, ' ' order by rank) || repeat(' 0', (12 - count(*))::bigint) list from knn group by src",
         "knn_distances": f"""with {KNN_CTE}, l as (select src, dst, row_number() over (order by rank, src desc) line from knn),
-e as (select src entity, dst other, 2 * line at from l union all select dst, src, 2 * line + 1 from l),
-n as (select entity, row_number() over (order by min(at)) id from e group by entity),
-r as (select *, {rank.format('entity', 'at')} rank from e)
+e as (select src entity, dst other, 2 * line seen from l union all select dst, src, 2 * line + 1 from l),
+n as (select entity, row_number() over (order by min(seen)) id from e group by entity),
+r as (select *, {rank.format('entity', 'seen')} rank from e)
 select a.id::bigint src, b.id::bigint dst, rank from r join n a on a.entity = r.entity join n b on b.entity = r.other where rank <= 8""",
         "t_of_n": "select value, count(*) n from (" + " union all ".join(f"select distinct i as value from ({oracle(t)})" for t in ("?a 6 70000001 . ?a 69 ?i", "?b 7 71000001 . ?b 69 ?i", "?c 2 50000003 . ?c 69 ?i")) + ") group by value having count(*) >= 2",
         "stats_predicate": f"with {TRIPLES_CTE} select p, count(*) n, count(distinct s) n_s, count(distinct o) n_o from triples group by p",
