@@ -30,12 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import pack, shuffle_partitions, unpack, whole_text
-from lodegraph.llm.packed import Numbers, chunks, gathered, rows
+from lodegraph.llm.common import buckets, pack, ship, tidy, unpack, whole_text
+from lodegraph.llm.packed import Numbers, chunks, dealt, gathered, rows
 
-_SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
+_SENT = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-_DDL = "key long, kind int, chunk long, blob binary"
+_DDL = "key int, kind int, chunk long, blob binary"
 
 
 @lru_cache(maxsize=4)
@@ -90,12 +90,14 @@ def _split(batches, pattern: str, n_buckets: int):
             own = [words[order[i]] for i in part]
             lengths = np.fromiter(map(len, own), np.uint32, len(own))
             sent.append((int(bucket[part[0]]), 1, key, pack(lengths, np.frombuffer(b"".join(own), np.uint8))))
+        del docs, flat, words, numbers
         for at in range(0, len(sent), 64):
             yield from rows(_SENT, sent[at : at + 64]).to_batches()
 
 
 def _encode_bucket(table: pa.Table, path: str, pattern: str) -> pa.Table:
     """Each distinct word of a bucket is encoded once; every chunk gets its words' identifiers."""
+    tidy()
     enc, seen, sent = encoding(path, pattern), {}, []
     for kind, chunk, blob, bucket in zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "blob", "key"))):
         if kind != 1:
@@ -116,6 +118,7 @@ def _encode_bucket(table: pa.Table, path: str, pattern: str) -> pa.Table:
 
 
 def _reassemble(positions: pa.Table, answers: pa.Table, path: str) -> pa.Table:
+    tidy()
     held = [b for k, b in zip(positions.column("kind").to_pylist(), positions.column("blob").to_pylist()) if k == 0]
     if not held:
         return _OUT.empty_table()
@@ -141,10 +144,11 @@ def _reassemble(positions: pa.Table, answers: pa.Table, path: str) -> pa.Table:
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (bytes) of every row."""
-    n = shuffle_partitions(docs.sparkSession)
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    sent = texts.mapInArrow(lambda b: _split(b, pattern, n), _DDL).repartition(n, "key")
-    answers = sent.groupBy("key").applyInArrow(lambda t: _encode_bucket(t, vocabulary, pattern), _DDL)
+    n = buckets(texts)
+    sent = dealt(texts.mapInArrow(lambda b: _split(b, pattern, n), _DDL), n)
+    answers = dealt(sent.groupBy("key").applyInArrow(lambda t: _encode_bucket(t, vocabulary, pattern), _DDL), n)
     return (
         sent.groupBy("key")
         .cogroup(answers.groupBy("key"))

@@ -3,56 +3,49 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from lodegraph.storage import discard, stored
 
 #: Bytes of text that a task holds in its packed form at once.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 6 << 20
+#: Bytes of text for a bucket: no fewer than LEAST (many small buckets would send one another many small messages), no more than BYTES.
+BUCKET_LEAST, BUCKET_BYTES = 4 << 20, 32 << 20
 
 #: Bytes of an Arrow batch between the JVM and Python, unless the session sets them: long rows make small batches.
 ARROW_BATCH_BYTES = 8 << 20
 _ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+__all__ = ["buckets", "discard", "documents", "pack", "remainder", "ship", "shuffle_partitions", "stored", "tidied", "tidy", "unpack", "whole_text"]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; without one (tests), a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="lodegraph-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return _LOCAL[0]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def buckets(texts: DataFrame, column: str = "text") -> int:
+    """As many buckets as shuffles have partitions, within the bounds for a bucket's bytes: it lies in a task's memory."""
+    total = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, -(-total // BUCKET_BYTES), min(shuffle_partitions(texts.sparkSession), -(-total // BUCKET_LEAST)))
+
+
 def whole_text(column: str) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -63,6 +56,31 @@ def remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system. Python workers live on between tasks and would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidied(run):
+    """``run`` for ``mapInArrow``; its worker's memory is tidied after each batch, and at the end of the task."""
+
+    def wrapped(batches):
+        try:
+            for b in run(batches):
+                yield b
+                del b
+                tidy()
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays to one compressed blob; each array is split into byte planes, which compress better."""
     parts = [len(arrays).to_bytes(1, "little")]

@@ -15,29 +15,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodegraph.llm.common import CHUNK_BYTES
+from lodegraph.llm.common import CHUNK_BYTES, tidy
 
-#: Keys of chunks start here; keys of buckets are smaller.
-CHUNK_BASE = 1 << 40
+#: Keys of chunks are negative, those of buckets are not. Two chunks of a task lie so far apart; no job has as many tasks in a stage.
+TASKS = 1_000_003
 
 
 def chunks(batches, columns: tuple[str, ...], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, dict[str, list]]]:
     """``(chunk key, columns)`` with at most ``limit`` bytes of text each, or one longer text."""
     from pyspark import TaskContext
 
-    key, held, size = CHUNK_BASE + (TaskContext.get().partitionId() << 20), {c: [] for c in columns}, 0
+    key, held, size = -1 - TaskContext.get().partitionId(), {c: [] for c in columns}, 0
+    if key < -TASKS:
+        raise ValueError("too many tasks in a stage")
     for b in batches:
-        values = {c: b.column(c).to_pylist() for c in columns}
-        for i, t in enumerate(values[text]):
-            if size and size + len(t) > limit:
+        values, sizes = {c: b.column(c).to_pylist() for c in columns}, pc.binary_length(b.column(text)).to_pylist()
+        for i, n in enumerate(sizes):
+            if size and size + n > limit:
                 yield key, held
-                key, held, size = key + 1, {c: [] for c in columns}, 0
+                key, held, size = key - TASKS, {c: [] for c in columns}, 0
+                tidy()
             for c in columns:
                 held[c].append(values[c][i])
-            size += len(t)
+            size += n
+        del values
     if held[columns[0]]:
         yield key, held
+    del held
+    tidy()
+
+
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """Rows in the partition that their ``key`` names: buckets one each, chunks in turn, so that no partition gets several by chance."""
+    return df.repartitionById(n, F.col("key"))
 
 
 class Numbers(dict):

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import ship, tidied
+
 #: Entries of a task's table of counts; beyond it the table starts anew.
 TABLE_ENTRIES = 400_000
 
@@ -122,6 +124,7 @@ def count_text(counts: _Counts, text: str) -> int:
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every row."""
+    ship(docs.sparkSession)
 
     def run(batches):
         counts = _Counts(merger(vocabulary))
@@ -137,4 +140,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
         F.col(text_col).cast("string").alias("text"),
-    ).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    ).mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long")
