@@ -2,13 +2,15 @@
 
 Vectors are sparse integer rows; a term is a dimension. Candidates and queries
 are dealt into blocks of bounded size, and a cell of the grid (query block x
-candidate block) is one task's work: for each term its posting list of the
-block is scattered, weighted by the query rows, into the dense score arrays of
-those queries. A partition selection keeps the k best of the cell, and the
-cells' lists are merged by a window over the query.
+candidate block) is one task's work: the block's posting lists are built once,
+and for each term its list is scattered, weighted by the query rows, into the
+dense score arrays of those queries. A partition selection keeps the k best of
+the cell, and the cells' lists are merged by a window over the query.
 
 The grid has every pair of blocks, so the work is what a stated query set
-against all rows needs; a row is sent once for each block of the other side.
+against all rows needs; a row is sent once for each block of the other side, and
+blocks are as large as a task's memory allows, but small enough for every core
+to get a cell. Rows that repeat an id are candidates each.
 
 Defined cases: vectors that are null or hold a null or non-finite component
 take no part, neither as query nor as candidate; ties go to the smaller id;
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodegraph.llm.packed import rows
+from lodegraph.llm.common import ship
 
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 8192
+QUERY_BLOCK = 1 << 13
+CANDIDATE_BLOCK = 1 << 16
 #: Elements of the score arrays that are held at once.
 SCORE_ELEMENTS = 1 << 19
 
@@ -48,19 +50,29 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return dense
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray, dtype) -> np.ndarray:
-    """Scores (queries x candidates), one term after the other."""
-    scores = np.zeros((len(queries), len(candidates)), dtype)
+def postings(candidates: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """Of every term the places of the rows that have it, with its weights there. A list of more than half of all rows is kept
+    as an array of all weights, which takes less than places would (and None for these)."""
+    found = []
+    for term in range(candidates.shape[1]):
+        weights = np.ascontiguousarray(candidates[:, term])
+        places = np.flatnonzero(weights)
+        found.append((places, weights[places]) if 2 * len(places) < len(weights) else (None, weights))
+    return found
+
+
+def accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarray]], n: int, dtype) -> np.ndarray:
+    """Scores (queries x n candidates), one term after the other."""
+    scores = np.zeros((len(queries), n), dtype)
     scratch = np.empty_like(scores)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        weights, posting = queries[:, term], candidates[:, term]
+    for weights, (places, posting) in zip(queries.T, lists):
         rows_with = np.flatnonzero(weights)
-        postings = np.flatnonzero(posting)
-        if not len(rows_with) or not len(postings):
+        if not len(rows_with) or not len(posting):
             continue
-        if 2 * len(postings) < len(posting):  # short posting list: scatter to its places only
-            scores[np.ix_(rows_with, postings)] += weights[rows_with, None] * posting[None, postings]
-        else:  # nearly every candidate has the term: its list as a dense array, zeros where it has not
+        if places is not None:
+            for row in rows_with:  # places are distinct, so every one gets its product once
+                scores[row, places] += weights[row] * posting
+        else:
             np.multiply(weights[:, None], posting[None, :], out=scratch)
             scores += scratch
     return scores
@@ -78,10 +90,10 @@ def _cell(table: pa.Table, k: int) -> pa.Table:
     if bound >= 1 << 62:
         raise ValueError("inner products do not fit into 64 bits")
     dtype = np.int32 if bound < 1 << 30 else np.int64
-    c, q = np.asfortranarray(c.astype(dtype)), q.astype(dtype)
+    lists, q = postings(c.astype(dtype)), q.astype(dtype)
     n, step, found = len(c_ids), max(1, SCORE_ELEMENTS // len(c_ids)), []
     for at in range(0, len(q_ids), step):
-        scores = accumulate(q[at : at + step], c, dtype)
+        scores = accumulate(q[at : at + step], lists, n, dtype)
         for i, own in enumerate(scores):
             me = q_ids[at + i]
             # The k-th best score, with room for the query's own rows.
@@ -107,7 +119,9 @@ def _dealt(df: DataFrame, n_blocks: int, n_other: int, own: str, other: str) ->
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` for integer vectors given as ``id, terms`` (array of long)."""
+    ship(vectors.sparkSession)
     n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, CANDIDATE_BLOCK)))
+    n_c = max(n_c, -(-vectors.sparkSession.sparkContext.defaultParallelism // n_q))
     both = _dealt(queries, n_q, n_c, "qb", "cb").select("qb", "cb", F.lit(True).alias("is_query"), "id", "terms").unionByName(
         _dealt(vectors, n_c, n_q, "cb", "qb").select("qb", "cb", F.lit(False).alias("is_query"), "id", "terms")
     )
