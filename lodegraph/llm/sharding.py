@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import shuffle_partitions, stored, whole_text
+from lodegraph.llm.common import ship, shuffle_partitions, stored, whole_text
 
 _RUNS = "doc_id long, size long, text_crc32 long, h long, run int, local_start long, local_row long"
 
@@ -48,6 +48,7 @@ def _prefix_sums(batches):
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: every row with its shard and its place in the shard."""
     spark = docs.sparkSession
+    ship(spark)
     text = whole_text(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -70,14 +71,8 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         "doc_id", "size", "text_crc32", "h", (F.col("b0") + F.col("local_start")).alias("start"), (F.col("r0") + F.col("local_row")).alias("row")
     )
     cuts = _cuts(placed, total, largest, n_shards)
-    bounds = F.array(*(F.lit(c).cast("long") for c in [0, *cuts, total + 1]))
-    # A cut lies within a target's length of its target, so the shard is the guess or a neighbour of it.
-    guess = F.least(F.lit(n_shards - 1), F.floor(F.col("start") * F.lit(n_shards) / F.lit(max(total, 1))).cast("int"))
-    placed = placed.withColumn("guess", guess)
-    before = F.aggregate(
-        F.slice(bounds, F.greatest(F.lit(1), F.col("guess") - 1), F.lit(5)), F.lit(0), lambda n, c: n + (c <= F.col("start")).cast("int")
-    )
-    placed = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.greatest(F.lit(1), F.col("guess") - 1) - 2 + before).cast("int"))
+    before = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("start"))) if cuts else F.lit(0)
+    placed = placed.withColumn("shard", before.cast("int"))
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row for each shard
     return placed.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot")
