@@ -26,11 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import whole_text
+from lodegraph.llm.common import ship, tidied, whole_text
 from lodegraph.llm.sampling import sampled_ids
 
 #: Labelled documents of each language in the sample (documented bound).
 SAMPLE_DOCUMENTS = 400
+#: And of all languages, which bounds what the driver holds: a row of features takes 16 KB.
+SAMPLE_TOTAL = 16_384
 DIMENSIONS = 1 << 13
 #: Texts are read in strips of so many bytes; sums over strips are exact for the whole text.
 STRIP_BYTES = 1 << 22
@@ -152,9 +154,10 @@ def decide(m: np.ndarray, model: Model) -> tuple[str, float]:
 
 
 def train(docs: DataFrame, learnable, bound: int = SAMPLE_DOCUMENTS) -> Model | None:
-    """Fit on a bounded sample of the rows with a language for which ``learnable`` holds."""
+    """Fit on a bounded sample of the rows with a language for which ``learnable`` holds; an id with several counts for the first."""
+    ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learnable)
-    ids = sampled_ids(labelled.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("label")), bound)
+    ids = sampled_ids(labelled.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("label")), bound, SAMPLE_TOTAL)
 
     def featurise(batches):
         for b in batches:
@@ -163,11 +166,13 @@ def train(docs: DataFrame, learnable, bound: int = SAMPLE_DOCUMENTS) -> Model |
                 names=["id", "label", "x"],
             )
 
+    # Of rows that repeat an id, the one whose text comes first by hash.
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), whole_text("text").alias("text"), F.xxhash64("text").alias("hash"))
+    chosen = texts.select("id", "hash").join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("hash").alias("hash"))  # the sample has a stated bound
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), whole_text("text").alias("text"))
-        .join(F.broadcast(ids), "id")  # the sample has a stated bound
+        texts.join(F.broadcast(chosen), ["id", "hash"])
         .select("id", "label", "text")
-        .mapInArrow(featurise, "id long, label string, x binary")
+        .mapInArrow(tidied(featurise), "id long, label string, x binary")
         .dropDuplicates(["id"])
         .orderBy("id")
         .collect()
@@ -180,6 +185,7 @@ def train(docs: DataFrame, learnable, bound: int = SAMPLE_DOCUMENTS) -> Model |
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row."""
+    ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -193,4 +199,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")

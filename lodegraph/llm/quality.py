@@ -4,7 +4,8 @@ Two dictionaries are built from a bounded sample of labelled texts. A text is
 compressed with each of them, in pieces short enough for the dictionary to
 matter throughout; the normalised difference of the two sizes says which class
 the text resembles, and the compression ratio tells apart texts that repeat
-themselves. A logistic calibration, fitted on sampled texts that the
+themselves. Sizes of short texts say less, so their length weighs the difference.
+A logistic calibration, fitted on sampled texts that the
 dictionaries have not seen and weighted to the labels' own proportions, turns
 both into the probability of label 1.
 
@@ -28,16 +29,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodegraph.llm.common import whole_text
-from lodegraph.llm.sampling import sampled_ids
+from lodegraph.llm.common import ship, tidied, whole_text
+from lodegraph.llm.sampling import order, sampled_ids
 
-#: Labelled documents of each class in the sample (documented bound).
+#: Labelled documents of each class in the sample, and bytes of their texts: documents are taken whole, in the order of their
+#: hashes, until either bound is reached (documented bounds).
 SAMPLE_DOCUMENTS = 1200
-#: Of a longer sampled text, evenly spaced pieces with so many characters in all are learnt from (scoring reads whole texts).
-SAMPLE_CHARACTERS = 1 << 16
-#: Bytes of text for a dictionary's training, for each class.
-SAMPLE_BYTES = 6 << 20
+SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 112 << 10
 PIECE_BYTES = 2048
 LEVEL = 3
@@ -102,9 +102,6 @@ def fit(texts: list[str], labels: list[int], totals: dict[int, int]) -> Model:
     for label in (1, 0):
         raw = [t.encode("utf-8", "surrogatepass") for i, (t, y) in enumerate(zip(texts, labels)) if y == label and i % 3]
         pieces = [t[i : i + PIECE_BYTES] for t in raw for i in range(0, len(t), PIECE_BYTES)]
-        # Every k-th piece where there are more than the bound.
-        step = max(1, sum(map(len, pieces)) // SAMPLE_BYTES)
-        pieces = pieces[::step]
         try:
             built[label] = zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
         except zstandard.ZstdError:  # too few pieces to train on: the text itself is the dictionary
@@ -116,22 +113,26 @@ def fit(texts: list[str], labels: list[int], totals: dict[int, int]) -> Model:
     return Model(built[1], built[0], tuple(_logistic(x, y, weight)))
 
 
-def _spread(text):
-    pieces = SAMPLE_CHARACTERS // PIECE_BYTES
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * F.length(text) / F.lit(pieces)).cast("int") + 1, F.lit(PIECE_BYTES)))
-    return F.when(F.length(text) <= SAMPLE_CHARACTERS, text).otherwise(F.array_join(spaced, ""))
+def train(docs: DataFrame, labels: DataFrame, learnable, bound: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a bounded sample of the labelled documents for which ``learnable`` (a condition on ``doc_id``) holds.
 
-
-def train(docs: DataFrame, labels: DataFrame, learnable, bound: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit on a bounded sample of the labelled documents for which ``learnable`` (a condition on ``doc_id``) holds."""
+    An id with both labels counts as bad; of rows that repeat an id the one with the shortest text counts, and of these
+    the one that comes first by hash.
+    """
     labelled = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learnable).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
-    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ids = sampled_ids(labelled, bound)  # at most 2.4 * bound rows, so it can be broadcast
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("id").agg(F.min("label").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ids = sampled_ids(labelled, bound)  # at most 2 * bound rows, so it can be broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text("text").alias("text"))
+    sizes_ = texts.select("id", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash")).join(F.broadcast(ids), "id")
+    first = sizes_.groupBy("id", "label").agg(F.min(F.struct("bytes", "hash")).alias("row")).select("id", "label", "row.bytes", "row.hash")
+    before = F.sum("bytes").over(Window.partitionBy("label").orderBy(*order()).rowsBetween(Window.unboundedPreceding, 0))  # of at most ``bound`` rows
+    chosen = first.withColumn("so_far", before).where(F.col("so_far") <= most_bytes).select("id", "label", "hash")
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), _spread(whole_text("text")).alias("text"))
-        .join(F.broadcast(ids), "id")
-        .dropDuplicates(["id"])
-        .orderBy(F.xxhash64("id"), "id")
+        texts.withColumn("hash", F.xxhash64("text"))
+        .join(F.broadcast(chosen), ["id", "hash"])
+        .dropDuplicates(["id"])  # rows of equal id and text
+        .select("text", "label", *(c.alias(f"o{i}") for i, c in enumerate(order())))
+        .orderBy("o0", "o1")
         .collect()
     )
     return fit([r["text"] for r in found], [r["label"] for r in found], totals)
@@ -139,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable, bound: int = SAMPLE_DOC
 
 def score_rows(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with one more column, ``__quality``: the probability of label 1."""
+    ship(docs.sparkSession)
 
     def run(batches):
         w = np.array(model.weights)
@@ -153,4 +155,4 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__quality", DoubleType())]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField("__quality", DoubleType())]))
