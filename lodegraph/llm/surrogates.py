@@ -2,12 +2,14 @@
 
 Detected: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card and
 other 13- to 19-digit numbers, social-security numbers, IBANs, secrets after
-words such as ``token =``, and names after a title. Every mention has a canonical
+words such as ``token =`` or of a well-known form, and names after a title. Every mention has a canonical
 entity (digits alone, lower case, a name's parts); a surrogate is drawn for the
 entity by a keyed hash and written in the mention's own format, so all mentions
 of an entity agree whatever their spelling (coreference), in every document.
 Surrogates keep type and format: digit counts, separators, check digits that
-hold, letter case, script, and a name's gender.
+hold, a telephone number's country code, letter case, script (letters come from
+the mention's own, names of Latin or Cyrillic script from lists), and a name's
+gender. IP addresses come from ranges that are reserved for tests or unused.
 
 Collision checks: over the distinct entities of the whole corpus, a surrogate
 that equals a real entity or another entity's surrogate is drawn again (with the
@@ -17,7 +19,8 @@ they are sent to the tasks if they are few (a checked bound) and joined to the
 documents otherwise. The surrogates of all others follow from the key alone.
 
 Defined cases: a null text stays null, an empty text stays empty; very long texts
-are read whole; repeated rows get the same surrogates; a text without findings
+are read whole; repeated rows get the same surrogates; a null id is as good as
+any other, since ids are not read; a text without findings
 is returned unchanged; an empty table gives an empty result; other columns of
 the table are kept as they are.
 """
@@ -29,13 +32,14 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lodegraph.llm.common import stored
+from lodegraph.llm.common import ship, stored, tidied
 
 #: Redrawn entities up to which their counters travel with the tasks; beyond it they are joined.
 SENT_ROWS = 200_000
@@ -68,9 +72,14 @@ _NUMBER = re.compile(
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
 _SECRET = re.compile(r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>(?=[_\-+/.=]*[A-Za-z0-9])[A-Za-z0-9_\-+/.=]{8,})")
+# Forms of secrets that tell themselves.
+_KNOWN_SECRET = re.compile(r"(?<![\w-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[\w-]{35})(?![\w-])", re.ASCII)
+_SECRET_START = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza")
 _SECRET_WORD = re.compile(r"(?i)token|key|secret|passw")
 _NAME = re.compile(r"(?<!\w)(?P<title>" + "|".join(map(re.escape, TITLES)) + r") (?P<name>[^\W\d_]+(?:[ -][^\W\d_]+)?)")
 _DIGIT = re.compile(r"[0-9]")
+# Country codes of one and of two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 def luhn(digits: str) -> bool:
@@ -83,8 +92,24 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+@lru_cache(maxsize=1 << 14)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "LATIN").split()[0].split("-")[0].lower()
+
+
 def script_of(word: str) -> str:
-    return "cyrillic" if "CYRILLIC" in unicodedata.name(word[0], "") else "latin"
+    return _script(word[0])
+
+
+@lru_cache(maxsize=1 << 10)
+def _letters(block: int, script: str, category: str) -> str:
+    """Letters of one script and case among 128 neighbours."""
+    return "".join(c for c in map(chr, range(block, block + 128)) if unicodedata.category(c) == category and _script(c) == script)
+
+
+def code_length(digits: str) -> int:
+    """Digits of the country code of an international number."""
+    return next((n for n in (1, 2) if digits[:n] in _CODES), 3)
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -94,6 +119,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if _SECRET_WORD.search(text):
         found += [(*m.span("secret"), "secret", m["secret"].lower() if re.fullmatch(r"[0-9A-Fa-f]+", m["secret"]) else m["secret"]) for m in _SECRET.finditer(text)]
+    if _SECRET_START.search(text):
+        found += [(*m.span(), "secret", m[0]) for m in _KNOWN_SECRET.finditer(text)]
     if _DIGIT.search(text):
         at = 0
         while m := _NUMBER.search(text, at):
@@ -103,9 +130,11 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 at = m.start() + 1
                 continue
             at = m.end()
-            if m.lastgroup == "phone":
-                digits = digits[-10:]  # with or without the country's code
-            found.append((*m.span(), m.lastgroup, ".".join(str(int(p)) for p in m[0].split(".")) if m.lastgroup == "ip" else digits))
+            kind = m.lastgroup
+            if kind == "phone" and m[0][0] == "+":
+                # A national number with ten digits is one of country 1.
+                kind, digits = ("phone", digits[1:]) if digits[0] == "1" else ("abroad", digits)
+            found.append((*m.span(), kind, ".".join(str(int(p)) for p in m[0].split(".")) if m.lastgroup == "ip" else digits))
         for m in _IBAN.finditer(text):
             plain = m[0].replace(" ", "")
             if 15 <= len(plain) <= 34 and iban_valid(plain):
@@ -114,10 +143,11 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             found += [(*m.span(), "ipv6", ":".join(f"{int(p, 16):x}" for p in m[0].split(":"))) for m in _IPV6.finditer(text)]
     for m in _NAME.finditer(text):
         parts, at = re.split(r"[ -]", m["name"]), m.start("name")
-        if not all(p[0].isupper() for p in parts):
-            parts = parts[:1]
-        if not parts[0][0].isupper():
+        named = [p[0] != p[0].lower() or p[0] == p[0].upper() for p in parts]  # a capital, or a script without case
+        if not named[0]:
             continue
+        if not all(named):
+            parts = parts[:1]
         gender = TITLES[m["title"]]
         for i, p in enumerate(parts):
             script = script_of(p)
@@ -158,8 +188,13 @@ def _shaped(text: str, stream: Iterator[int], hexadecimal: bool = False) -> str:
         elif c.isdigit():
             out.append(str(_below(stream, 10)))
         elif c.isalpha():
-            new = "abcdefghijklmnopqrstuvwxyz"[_below(stream, 26)] if script_of(c) == "latin" else chr(0x430 + _below(stream, 32))
-            out.append(new.upper() if c.isupper() else new)
+            script = _script(c)
+            if script in ("latin", "cyrillic"):
+                new = "abcdefghijklmnopqrstuvwxyz"[_below(stream, 26)] if script == "latin" else chr(0x430 + _below(stream, 32))
+                out.append(new.upper() if c.isupper() else new)
+            else:
+                pool = _letters(ord(c) & ~127, script, unicodedata.category(c))
+                out.append(pool[_below(stream, len(pool))])
         else:
             out.append(c)
     return "".join(out)
@@ -173,7 +208,9 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
         local = entity.rpartition("@")[0]
         return f"{_shaped(local, s)}{'abcdefghijklmnopqrstuvwxyz'[_below(s, 26)] * (counter // 4)}@{_shaped('aaaaaa', s)}.example.org"
     if kind == "ip":
-        return ".".join(str(1 + _below(s, 254)) for _ in range(4))
+        # 198.18.0.0/15 is for tests; beyond it 240.0.0.0/4, which nobody has.
+        first = (198, 18 + _below(s, 2)) if counter < 2 else (240 + _below(s, 15), _below(s, 256))
+        return ".".join(map(str, (*first, _below(s, 256), _below(s, 256))))
     if kind == "ipv6":
         return ":".join(["2001", "db8", *(f"{_below(s, 1 << 16):x}" for _ in range(6))])
     if kind == "card":
@@ -181,6 +218,9 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
         if luhn(entity):
             body = next(body[:-1] + d for d in "0123456789" if luhn(body[:-1] + d))
         return body
+    if kind == "abroad":
+        n = code_length(entity)
+        return entity[:n] + str(2 + _below(s, 8)) + "".join(str(_below(s, 10)) for _ in entity[n + 1 :])
     if kind == "phone":
         return str(2 + _below(s, 8)) + "".join(str(_below(s, 10)) for _ in entity[1:])
     if kind == "ssn":
@@ -193,6 +233,8 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
         # Of letters or digits at least one; grows like an e-mail's local part, so that few of them never run out.
         return _shaped(entity, s, re.fullmatch(r"[0-9a-f]+", entity) is not None) + "".join("abcdef"[_below(s, 6)] for _ in range(counter // 4))
     part, script, *sex = kind.split(":")
+    if script not in SYLLABLES:
+        return _shaped(entity + entity[-1] * (counter // 4), s)
     if part == "given" and counter == 0:
         pool = NAMES[script, sex[0]]
         return pool[_below(s, len(pool))].lower()
@@ -202,7 +244,7 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
 
 def written(mention: str, kind: str, new: str) -> str:
     """The surrogate in the mention's format."""
-    if kind in ("card", "phone", "ssn", "iban"):
+    if kind in ("card", "phone", "abroad", "ssn", "iban"):
         kept = sum(c.isalnum() for c in mention) - len(new)  # a country's code stays
         chars = iter([c for c in mention if c.isalnum()][:kept] + list(new))
         return "".join(next(chars) if c.isalnum() else c for c in mention)
@@ -238,7 +280,7 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     def drawn(df: DataFrame, counter: int) -> DataFrame:
         return df.select("kind", "entity").mapInArrow(lambda b: draw(b, counter), "kind string, entity string, surrogate string").withColumn("counter", F.lit(counter))
 
-    entities = stored(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(detect, "kind string, entity string").distinct(), "entities")
+    entities = stored(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(detect), "kind string, entity string").distinct(), "entities")
     # Surrogates of a kind and entities of that kind share one space; genders of a script share theirs.
     space = F.regexp_replace("kind", ":[fm]$", "")
     real = entities.select(space.alias("space"), F.col("entity").alias("surrogate")).distinct()
@@ -259,6 +301,7 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "__n_mentions") -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and the number of mentions in a new last column."""
+    ship(docs.sparkSession)
     again = redrawn(docs, key, text_col)
     text_at, width = docs.columns.index(text_col), len(docs.columns)
     schema = StructType([*docs.schema.fields, StructField(count_col, IntegerType())])
@@ -274,7 +317,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str
 
     if len(few) <= SENT_ROWS:
         counters = {(r["kind"], r["entity"]): r["counter"] for r in few}
-        return docs.mapInArrow(lambda batches: run(batches, lambda b, i: lambda k, e: counters.get((k, e), 0)), schema)
+        return docs.mapInArrow(tidied(lambda batches: run(batches, lambda b, i: lambda k, e: counters.get((k, e), 0))), schema)
 
     def held(batches):
         for b in batches:
@@ -285,7 +328,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str
     text = F.col(text_col).cast("string")
     by_text = (
         docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
-        .mapInArrow(held, "hash long, kind string, entity string")
+        .mapInArrow(tidied(held), "hash long, kind string, entity string")
         .join(again, ["kind", "entity"])
         .groupBy("hash")
         .agg(F.collect_set(F.struct("kind", "entity", "counter")).alias("__counters"))
@@ -297,4 +340,4 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str
         own = {(c["kind"], c["entity"]): c["counter"] for c in b.column("__counters")[i].as_py() or ()}
         return lambda k, e: own.get((k, e), 0)
 
-    return joined.mapInArrow(lambda batches: run(batches, looked_up), schema)
+    return joined.mapInArrow(tidied(lambda batches: run(batches, looked_up)), schema)
