@@ -22,15 +22,19 @@ parent. Sweeps are synchronous: the tables of the
 other dishes and the parent's probabilities are those after the last sweep. The
 predictive probabilities are averaged over the last ``SAMPLES`` sweeps.
 
-Data flow: chunks of whole documents send each distinct (context, word) once,
-with its training count, to the bucket of the word's hash. A bucket holds the
-seating of its words in all restaurants and their parent's customers. The totals
-of a restaurant are kept apart, in the part of its context's hash: after each
-sweep buckets send their contexts' tables to the parts, which add them up and
-answer the buckets that asked. A context is known by its 64-bit hash. Seats are
-drawn from seeds, so a lost task seats its customers as before. Probabilities
-return to the chunks, where token positions sum them up. All training tokens are
-counted; the driver gets a few sums only.
+Data flow: chunks of whole documents send each distinct word once to the bucket
+of its hash, which numbers the words of the training texts, frequent ones first,
+and adds up their counts. With these numbers a chunk sends each distinct
+(context, word) once, with its training count, to the word's bucket; numbers of
+neighbouring contexts differ little, so a pair takes some two bytes. A bucket
+holds the seating of its words in all restaurants and their parent's customers.
+The totals of a restaurant are kept apart, in the part of its context's number:
+after each sweep buckets send their contexts' tables to the parts, which add
+them up and answer the buckets that asked. Seats are drawn from seeds, and
+numbers follow from counts and words alone, so a lost task does as before.
+Probabilities return to the chunks, where token positions sum them up. All
+training tokens are counted; the driver gets a few sums only. Tables that no
+later step reads are removed.
 
 Defined cases: a null or empty text is the end token alone; tokens that are not
 in the training texts are unknown and share one unknown word's probability; a
@@ -41,9 +45,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +54,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import pack, shuffle_partitions, stored, unpack, whole_text
-from lodegraph.llm.packed import Numbers, chunks, rows
+from lodegraph.llm.common import buckets, discard, pack, ship, stored, tidy, unpack, whole_text
+from lodegraph.llm.packed import Numbers, chunks, dealt, rows
 
 EXACT = 512
 #: Points of the contour integral and of the interpolation over tables; more tables than GRID are drawn from a grid.
@@ -61,15 +63,16 @@ NODES, DEGREE, GRID = 41, 14, 1 << 14
 SWEEPS, SAMPLES = 4, 3
 STRENGTH_CONTEXT, STRENGTH_ROOT = 1.0, 1.0
 SEED = 20240607
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 END = b""  # no word is empty
-#: Kinds of rows: sums of a bucket, its dishes and its contexts; from a part, places and customers of a bucket's contexts.
-SUMS, DISHES, NAMES, PLACES = 0, 1, 2, 3
+#: Kinds of rows: documents of a chunk, words and pairs for a bucket, numbers of a chunk's words, and sums of a bucket;
+#: of a bucket its dishes and the names of its contexts, and from a part the customers of these.
+DOCUMENTS, WORDS, PAIRS, IDS, SUMS, DISHES, NAMES, CUSTOMERS = range(8)
 #: And after sweep s: seats, what goes to the parts, and the tables that a part answers.
 SEATS, SENT, TABLES = 100, 200, 300
 
-_SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
-_DDL = "key long, kind int, chunk long, blob binary"
+_SENT = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
+_DDL = "key int, kind int, chunk long, blob binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -94,45 +97,118 @@ def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-# ---- encoding chunks -----------------------------------------------------------------
+# ---- words and their numbers -----------------------------------------------------------
 
 
-def context_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-def _encode(batches, n_buckets: int):
-    """Kind 0 (by chunk): documents and the types of their tokens; kind 1 (by bucket): types with training counts."""
+def _split(batches, n_buckets: int):
+    """By chunk: documents and the positions of their words; by bucket: words with their training counts."""
     for key, held in chunks(batches, ("doc_id", "text", "learn"), "text", CHUNK):
         numbers = Numbers()
         numbers[END] = 0
-        docs = [np.fromiter(map(numbers.__getitem__, tokens(t)), np.int64) for t in held["text"]]
+        docs = [np.fromiter(map(numbers.__getitem__, tokens(t)), np.int32) for t in held["text"]]
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         flat = np.concatenate(docs)
         words = list(numbers)
-        bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        context = np.fromiter(map(context_hash, words), np.uint64, len(words))
-        before = np.concatenate([[0], flat[:-1]])  # before a document's first word stands the end of another
-        learn = np.repeat(np.array(held["learn"], bool), counts)
-        types, at = np.unique(place[flat] * len(words) + before, return_inverse=True)
-        trained = np.bincount(at[learn], minlength=len(types))
+        del docs, numbers
+        learn = np.array(held["learn"], bool)
+        trained = np.bincount(flat[np.repeat(learn, counts)], minlength=len(words))
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers pack well
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        bucket = np.fromiter((zlib.crc32(words[i]) % n_buckets for i in order), np.int32, len(words))
         ids = np.array([-1 if d is None else d for d in held["doc_id"]], np.int64)
         known = np.array([d is not None for d in held["doc_id"]], np.uint8)
-        of_word, of_context = types // len(words), context[types % len(words)]
-        sent = [(key, 0, key, pack(ids, known, counts, at.astype(np.uint32)))]
-        n_types = np.bincount(of_word, minlength=len(words))
-        ends = np.cumsum(n_types)
-        for a, z in _runs(bucket[order]):
-            first, last = (ends[a] - n_types[a], ends[z - 1])
-            blob = pack(*_joined([words[i] for i in order[a:z]]), n_types[a:z].astype(np.uint32), of_context[first:last], trained[first:last].astype(np.uint32))
-            sent.append((int(bucket[order[a]]), 1, key, blob))
+        sent = [(key, DOCUMENTS, key, pack(ids, known, learn.astype(np.uint8), counts, rank[flat], bucket))]
+        by_bucket = np.argsort(bucket, kind="stable")
+        for a, z in _runs(bucket[by_bucket]):
+            own = order[by_bucket[a:z]]
+            sent.append((int(bucket[by_bucket[a]]), WORDS, key, pack(*_joined([words[i] for i in own]), trained[own].astype(np.uint32))))
+        del flat, words
         for i in range(0, len(sent), 64):
             yield from rows(_SENT, sent[i : i + 64]).to_batches()
 
 
+def _number(table: pa.Table, n_buckets: int) -> pa.Table:
+    """Numbers and counts of a bucket's words for every chunk; words without training counts share the number after the last."""
+    tidy()
+    bucket = table.column("key")[0].as_py()
+    numbers, asked, counts = Numbers(), [], []
+    for kind, chunk, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))):
+        if kind == WORDS:
+            lengths, flat, trained = unpack(blob)
+            asked.append((chunk, np.fromiter(map(numbers.__getitem__, _separate(lengths, flat)), np.int64, len(lengths))))
+            counts.append(trained.astype(np.int64))
+    if not asked:
+        return _SENT.empty_table()
+    count = np.bincount(np.concatenate([own for _, own in asked]), np.concatenate(counts), len(numbers)).astype(np.int64)
+    words = list(numbers)
+    order = sorted(np.flatnonzero(count).tolist(), key=lambda i: (-count[i], words[i]))
+    place = np.full(len(words), len(order))
+    place[order] = np.arange(len(order))
+    ids = (place * n_buckets + bucket).astype(np.uint64 if len(order) * n_buckets >= 1 << 31 else np.uint32)
+    sums = [count.sum(), len(order), (count == 1).sum(), (count == 2).sum()]
+    sent = [(chunk, IDS, bucket, pack(ids[own], count[own])) for chunk, own in asked]
+    return rows(_SENT, [(bucket, SUMS, 0, pack(np.array(sums, np.int64))), *sent])
+
+
+def _codes(at: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Of every token its pair: word's place * words + context. Words are known by their rank in number; places are in the
+    order of (bucket, number). Before a document's first word stands the end of another."""
+    place, at = np.empty(len(bucket), np.int64), at.astype(np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+    return place[at] * len(bucket) + np.concatenate([at[counts[0] - 1 : counts[0]], at[:-1]])
+
+
+def _steps(context: np.ndarray, n_types: np.ndarray) -> np.ndarray:
+    """Ascending contexts of each word as differences."""
+    steps = np.diff(context, prepend=0)
+    first = np.cumsum(n_types) - n_types
+    steps[first] = context[first]
+    return steps.astype(np.uint32) if steps.max(initial=0) < 1 << 32 else steps
+
+
+def _unstepped(steps: np.ndarray, n_types: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate([[0], total])[np.cumsum(n_types, dtype=np.int64) - n_types]
+    return total - np.repeat(before, n_types)
+
+
+def _pair(positions: pa.Table, answers: pa.Table, n_buckets: int) -> pa.Table:
+    """Of a chunk: documents with the numbers of their words, counts and base scores, and the pairs for each bucket. Sums pass through."""
+    tidy()
+    if positions.num_rows and positions.column("key")[0].as_py() >= 0 or not positions.num_rows:
+        return answers.filter(pc.equal(answers.column("kind"), SUMS)) if answers.num_rows else _SENT.empty_table()
+    key = positions.column("key")[0].as_py()
+    ids, known, learn, counts, flat, bucket = unpack(positions.column("blob")[0].as_py())
+    number, count = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1))
+    for b, blob in zip(answers.column("chunk").to_pylist(), answers.column("blob").to_pylist()):
+        which = by_bucket[edges[b] : edges[b + 1]]
+        number[which], count[which] = unpack(blob)
+    starts = np.cumsum(counts) - counts
+    base = np.add.reduceat(np.log10(count + 1.0)[flat], starts)
+    n_known = np.add.reduceat((count > 0).astype(np.int64)[flat], starts)
+    own, local = np.unique(number, return_inverse=True)
+    at, bucket = local[flat].astype(np.uint32), (own % n_buckets).astype(np.int32)
+    # Sorted with the learning rows' flag: every pair's run, and in it the training tokens.
+    code = np.sort(_codes(at, counts, bucket) * 2 + np.repeat(learn, counts))
+    pair, trained = code >> 1, code & 1
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    trained = np.add.reduceat(trained, first)
+    pair = pair[first]
+    n_types = np.bincount(pair // len(own), minlength=len(own))
+    context, ends = own[pair % len(own)], np.cumsum(n_types)
+    sent = [(key, DOCUMENTS, key, pack(ids, known, counts, n_known, base, at, bucket))]
+    numbers = own[np.argsort(bucket, kind="stable")]
+    for a, z in _runs(numbers % n_buckets):
+        low, high, n = ends[a] - n_types[a], ends[z - 1], n_types[a:z]
+        word = np.diff(numbers[a:z] // n_buckets, prepend=0)
+        blob = pack(word.astype(np.uint32) if word.max() < 1 << 32 else word, n.astype(np.uint32), _steps(context[low:high], n), trained[low:high].astype(np.uint32))
+        sent.append((int(numbers[a] % n_buckets), PAIRS, key, blob))
+    return rows(_SENT, sent)
+
+
 # ---- restaurants ---------------------------------------------------------------------
 
 
@@ -147,58 +223,50 @@ class Totals:
     customers: np.ndarray  # of each context restaurant, by number; 0 has none
     tables: tuple[np.ndarray, ...] = ()  # of each context restaurant, after each sweep
     root: tuple[tuple[int, int], ...] = ()  # customers and tables of the unigram restaurant, after each sweep
-    names: np.ndarray | None = None  # hashes of the contexts 1, 2, ... in order; without them a type holds its context's number
 
 
-def _merge_types(table: pa.Table, n_parts: int) -> pa.Table:
-    """The dishes of a bucket in all restaurants (word lengths, words, dish's word, restaurant, customers), the hashes of all
+def _merge(table: pa.Table, n_parts: int) -> pa.Table:
+    """The dishes of a bucket in all restaurants (restaurants of each word, as differences, and customers), the numbers of all
     contexts that it has, and for every part that holds some of them their customers."""
+    tidy()
     bucket = table.column("key")[0].as_py()
-    numbers, words, contexts, counts = Numbers(), [], [], []
+    words, contexts, counts = [], [], []
     for blob in table.column("blob").to_pylist():
-        lengths, flat, n_types, context, trained = unpack(blob)
-        own = np.fromiter(map(numbers.__getitem__, _separate(lengths, flat)), np.int64, len(lengths))
-        words.append(np.repeat(own, n_types))
-        contexts.append(context)
+        word, n_types, steps, trained = unpack(blob)
+        words.append(np.repeat(np.cumsum(word, dtype=np.int64), n_types))
+        contexts.append(_unstepped(steps, n_types))
         counts.append(trained.astype(np.int64))
     names, context = np.unique(np.concatenate(contexts), return_inverse=True)
     width, trained = len(names) + 1, np.concatenate(counts)
     some = trained > 0
     code, at = np.unique(np.concatenate(words)[some] * width + context[some] + 1, return_inverse=True)
     customers = np.bincount(at, trained[some], len(code)).astype(np.int64)
-    word, alive = code // width, np.zeros(len(numbers), bool)
-    alive[word] = True
-    word, context = (np.cumsum(alive) - 1)[word], code % width
-    of_word = np.bincount(word, customers, int(alive.sum()))
-    sums = [customers.sum(), alive.sum(), (of_word == 1).sum(), (of_word == 2).sum(), (customers == 1).sum(), (customers == 2).sum()]
-    dishes = pack(*_joined([w for w, y in zip(numbers, alive.tolist()) if y]), word.astype(np.uint32), context.astype(np.uint32), customers)
-    sent = [(bucket, SUMS, 0, pack(np.array(sums, np.int64))), (bucket, DISHES, 0, dishes), (bucket, NAMES, 0, pack(names))]
+    word, context = code // width, code % width
+    n_types = np.bincount(word)
+    sums = [(customers == 1).sum(), (customers == 2).sum()]
+    sent = [(bucket, SUMS, 1, pack(np.array(sums, np.int64))), (bucket, DISHES, 0, pack(n_types.astype(np.uint32), _steps(context, n_types), customers)), (bucket, NAMES, 0, pack(np.diff(names, prepend=0)))]
     total = np.bincount(context, customers, width).astype(np.int64)[1:]
-    sent += [(part, SENT, bucket, pack(names[a:z], total[a:z])) for part, a, z in _parts(names, n_parts)]
+    sent += [(part, SENT, bucket, pack(steps, total[which])) for part, which, steps in _parts(names, n_parts)]
     return rows(_SENT, sent)
 
 
-def _parts(names: np.ndarray, n_parts: int) -> list[tuple[int, int, int]]:
-    """Parts hold ranges of hashes: (part, first, end) of ascending hashes."""
-    part = ((names >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
-    return [(int(part[a]), a, z) for a, z in _runs(part)]
-
-
-def _place(table: pa.Table) -> pa.Table:
-    """In a part: for every bucket that asked, the places of its contexts (as differences) and their customers."""
-    part, asked = table.column("key")[0].as_py(), [unpack(b) for b in table.column("blob").to_pylist()]
-    names, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    customers = np.bincount(at, np.concatenate([a[1] for a in asked]), len(names)).astype(np.int64)
-    places = np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
-    return rows(_SENT, [(b, PLACES, part, pack(np.diff(p, prepend=0).astype(np.uint32), customers[p])) for b, p in zip(table.column("chunk").to_pylist(), places)])
+def _parts(names: np.ndarray, n_parts: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, its contexts, their places there as differences) of ascending context numbers."""
+    order = np.argsort(names % n_parts, kind="stable")
+    part, found = (names % n_parts)[order], []
+    for a, z in _runs(part):
+        steps = np.diff(names[order[a:z]] // n_parts, prepend=0)
+        found.append((int(part[a]), order[a:z], steps.astype(np.uint32) if steps.max() < 1 << 32 else steps))
+    return found
 
 
-def _add_tables(table: pa.Table, s: int) -> pa.Table:
-    """In a part: tables of its contexts in all buckets after sweep s, for every bucket that has them."""
+def _add(table: pa.Table, kind: int) -> pa.Table:
+    """In a part: customers or tables of its contexts in all buckets, for every bucket that has them."""
+    tidy()
     part, asked = table.column("key")[0].as_py(), [unpack(b) for b in table.column("blob").to_pylist()]
     places = [np.cumsum(a[0], dtype=np.int64) for a in asked]
-    tables = np.bincount(np.concatenate(places), np.concatenate([a[1] for a in asked])).astype(np.int64)
-    return rows(_SENT, [(b, TABLES + s, part, pack(tables[p])) for b, p in zip(table.column("chunk").to_pylist(), places)])
+    total = np.bincount(np.concatenate(places), np.concatenate([a[1] for a in asked])).astype(np.int64)
+    return rows(_SENT, [(b, kind, part, pack(total[p])) for b, p in zip(table.column("chunk").to_pylist(), places)])
 
 
 def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -379,162 +447,146 @@ def seatings(bucket: int, word: np.ndarray, context: np.ndarray, customers: np.n
         yield t2, c1, t1
 
 
-def _sweep(table: pa.Table, totals: Totals, sweeps: int):
-    """Table totals of a bucket after the last sweep: (restaurant, tables); -1 and -2 are the root's customers and tables."""
-    parts = []
-    for key, blob in zip(table.column("key").to_pylist(), table.column("blob").to_pylist()):
-        lengths, _, word, context, customers = unpack(blob)
-        *_, (t2, c1, t1) = seatings(key, word.astype(np.int64), context.astype(np.int64), customers, len(lengths), totals, sweeps)
-        sums = np.bincount(context, t2, len(totals.customers)).astype(np.int64)
-        some = np.flatnonzero(sums)
-        parts.append((np.concatenate([[-1, -2], some]), np.concatenate([[c1.sum(), t1.sum()], sums[some]])))
-    for names, sums in parts:
-        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["restaurant", "n"])
+@dataclass
+class Home:
+    """What lies in a bucket."""
 
+    bucket: int
+    n_words: int
+    word: np.ndarray
+    context: np.ndarray
+    customers: np.ndarray
+    names: np.ndarray
+    totals: Totals
+    seats: dict[int, tuple[np.ndarray, np.ndarray]]
 
-def _home(table: pa.Table) -> dict[int, list[np.ndarray]]:
-    """Arrays of a bucket by kind; those of parts one after the other, which is the order of contexts."""
-    found: dict[int, list] = {}
-    kinds, chunk, blobs = (table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))
-    for i in sorted(range(len(kinds)), key=lambda i: (kinds[i], chunk[i])):
-        found.setdefault(kinds[i], []).append((chunk[i], unpack(blobs[i])))
-    several = lambda kind: kind == PLACES or kind >= TABLES
-    return {
-        k: [np.array([c for c, _ in x]), np.array([len(a[0]) for _, a in x]), *(np.concatenate(a) for a in zip(*(a for _, a in x)))] if several(k) else x[0][1]
-        for k, x in found.items()
-    }
-
-
-def _local(home: dict[int, list[np.ndarray]], totals: Totals) -> Totals:
-    """Totals with those of the bucket's contexts; of sweeps whose tables are not at hand there are none."""
-    first = np.zeros(1, np.int64)  # number 0 has no restaurant
-    tables = tuple(np.concatenate([first, home[TABLES + s][2]]) if TABLES + s in home else first for s in range(len(totals.root)))
-    return Totals(totals.n, totals.v, totals.root_discount, totals.discount, np.concatenate([first, home[PLACES][3]]), tables, totals.root, home[NAMES][0] if NAMES in home else None)
 
-
-def _reseat(table: pa.Table, totals: Totals, s: int) -> pa.Table:
+def _home(table: pa.Table, totals: Totals, n_parts: int) -> Home:
+    found: dict[int, list] = {}
+    for kind, part, blob in sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))), key=lambda r: r[:2]):
+        found.setdefault(kind, []).append(unpack(blob))
+    n_types, steps, customers = found[DISHES][0]
+    names = np.cumsum(found[NAMES][0][0])
+    order = np.argsort(names % n_parts, kind="stable")  # parts one after the other
+
+    def by_context(kind):
+        """Of contexts 1, 2, ...; number 0 has no restaurant."""
+        total = np.zeros(len(names) + 1, np.int64)
+        if kind in found:
+            total[order + 1] = np.concatenate([a[0] for a in found[kind]])
+        return total
+
+    tables = tuple(by_context(TABLES + s) for s in range(len(totals.root)))
+    own = Totals(totals.n, totals.v, totals.root_discount, totals.discount, by_context(CUSTOMERS), tables, totals.root)
+    seats = {kind - SEATS: tuple(a[0]) for kind, a in found.items() if SEATS <= kind < SENT}
+    return Home(table.column("key")[0].as_py(), len(n_types), np.repeat(np.arange(len(n_types)), n_types), _unstepped(steps, n_types), customers, names, own, seats)
+
+
+def _reseat(table: pa.Table, totals: Totals, s: int, n_parts: int) -> pa.Table:
     """A bucket after sweep s: seats, the root's customers and tables, and each part's contexts with their tables here."""
-    bucket, home = table.column("key")[0].as_py(), _home(table)
-    lengths, _, word, context, customers = home[DISHES]
-    word, context = word.astype(np.int64), context.astype(np.int64)
-    seats = (s - 1, *home[SEATS + s - 1]) if s else None
-    *_, (t2, c1, t1) = seatings(bucket, word, context, customers, len(lengths), _local(home, totals), s, seats)
-    part, n, steps, total = home[PLACES]
-    sums, ends = np.bincount(context, t2, len(total) + 1).astype(np.int64)[1:], np.cumsum(n)
-    sent = [(int(p), SENT + s, bucket, pack(steps[z - m : z], sums[z - m : z])) for p, m, z in zip(part, n, ends)]
-    return rows(_SENT, [(bucket, SUMS, 0, pack(np.array([c1.sum(), t1.sum()], np.int64))), (bucket, SEATS + s, 0, pack(t2, t1)), *sent])
-
-
-def _answer(asked: pa.Table, table: pa.Table, totals: Totals) -> pa.Table:
+    tidy()
+    home = _home(table, totals, n_parts)
+    seats = (s - 1, *home.seats[s - 1]) if s else None
+    *_, (t2, c1, t1) = seatings(home.bucket, home.word, home.context, home.customers, home.n_words, home.totals, s, seats)
+    sums = np.bincount(home.context, t2, len(home.names) + 1).astype(np.int64)[1:]
+    sent = [(part, SENT + s, home.bucket, pack(steps, sums[which])) for part, which, steps in _parts(home.names, n_parts)]
+    return rows(_SENT, [(home.bucket, SUMS, 0, pack(np.array([c1.sum(), t1.sum()], np.int64))), (home.bucket, SEATS + s, 0, pack(t2, t1)), *sent])
+
+
+def _predict(asked: pa.Table, table: pa.Table, totals: Totals, n_parts: int, sweeps: int = SWEEPS, samples: int = SAMPLES) -> pa.Table:
+    """For every chunk that asked: log10 probability of each of its pairs, averaged over the last sweeps."""
+    tidy()
     if not asked.num_rows:
         return _SENT.empty_table()
-    home = _home(table)
-    lengths, _, word, context, customers = home[DISHES]
-    totals = _local(home, totals)
-    held = []
-    for s in range(SWEEPS - SAMPLES + 1, SWEEPS + 1):
-        t2, t1 = home[SEATS + s]
-        held += seatings(0, word.astype(np.int64), context.astype(np.int64), customers, len(lengths), totals, s, (s, t2, t1))
-    return _predict(asked, table.filter(pc.equal(table.column("kind"), DISHES)), totals, held)
-
-
-def _predict(asked: pa.Table, dishes: pa.Table, totals: Totals, held: Iterable | None = None) -> pa.Table:
-    """For every chunk that asked: log10 probability of each of its types, and each of its words' training counts. The
-    seatings of the averaged sweeps are ``held`` or drawn again."""
-    if not asked.num_rows:
-        return _SENT.empty_table()
-    bucket = asked.column("key")[0].as_py()
-    width, d1, d2 = len(totals.customers), totals.root_discount, totals.discount
-    if dishes.num_rows:
-        lengths, flat, word, context, customers = unpack(dishes.column("blob")[0].as_py())
-        number = {w: i for i, w in enumerate(_separate(lengths, flat))}
-        word, context = word.astype(np.int64), context.astype(np.int64)
-    else:
-        number, word, context, customers = {}, *(np.zeros(0, np.int64) for _ in range(3))
-    n_words = len(number)
-    counted = np.append(np.bincount(word, customers, n_words).astype(np.int64), 0)  # the last is the unknown word
-    code = word * width + context  # ascends
+    home = _home(table, totals, n_parts)
+    totals, n_words, bucket = home.totals, home.n_words, home.bucket
+    width, d1, d2 = len(home.names) + 1, totals.root_discount, totals.discount
+    code = home.word * width + home.context  # ascends
     probability, seen = [], []
-    if held is None:
-        held = list(seatings(bucket, word, context, customers, n_words, totals, SWEEPS))[-SAMPLES:]
-    for s, (t2, c1, t1) in enumerate(held, SWEEPS - SAMPLES + 1):
+    for s in range(sweeps - samples + 1, sweeps + 1):
+        t2, t1 = home.seats[s]
+        ((t2, c1, t1),) = seatings(0, home.word, home.context, home.customers, n_words, totals, s, (s, t2, t1))
         all_c, all_t = totals.root[s]
         base = (STRENGTH_ROOT + d1 * all_t) / (totals.v + 1)
-        probability.append((np.append(c1 - d1 * t1, 0) + base) / (STRENGTH_ROOT + all_c))
-        seen.append(customers - d2 * t2)
+        probability.append((np.append(c1 - d1 * t1, 0) + base) / (STRENGTH_ROOT + all_c))  # the last is the unknown word
+        seen.append(home.customers - d2 * t2)
     sent = []
     for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("blob").to_pylist()):
-        lengths, flat, n_types, contexts, _ = unpack(blob)
-        own = np.fromiter((number.get(w, n_words) for w in _separate(lengths, flat)), np.int64, len(lengths))
-        w, u = np.repeat(own, n_types), contexts.astype(np.int64) if totals.names is None else np.searchsorted(totals.names, contexts) + 1
+        word, n_types, steps, _ = unpack(blob)
+        w = np.repeat(np.minimum(np.cumsum(word, dtype=np.int64), n_words), n_types)
+        u = np.searchsorted(home.names, _unstepped(steps, n_types)) + 1
         at = np.searchsorted(code, w * width + u)
         hit = (at < len(code)) & (w < n_words)
         hit[hit] = code[at[hit]] == (w * width + u)[hit]
         mean = np.zeros(len(w))
-        for s, (parent, cs) in enumerate(zip(probability, seen), SWEEPS - SAMPLES + 1):
-            p = parent[w]
+        for s, (parent, cs) in enumerate(zip(probability, seen), sweeps - samples + 1):
             added = np.zeros(len(w))
             added[hit] = cs[at[hit]]
-            inner = (added + (STRENGTH_CONTEXT + d2 * totals.tables[s][u]) * p) / (STRENGTH_CONTEXT + totals.customers[u])
-            mean += np.where(u > 0, inner, p)
-        sent.append((chunk, 2, bucket, pack(np.log10(mean / len(probability)).astype(np.float32), n_types, counted[own])))
+            mean += (added + (STRENGTH_CONTEXT + d2 * totals.tables[s][u]) * parent[w]) / (STRENGTH_CONTEXT + totals.customers[u])
+        sent.append((chunk, IDS, bucket, pack(np.log10(mean / len(probability)).astype(np.float32))))
     return rows(_SENT, sent)
 
 
 def _score(positions: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
+    tidy()
     if not positions.num_rows:
         return _SCORES.empty_table()
-    ids, known, counts, at = unpack(positions.column("blob")[0].as_py())
-    # Answers of the buckets in order are the types in order.
+    ids, known, counts, n_known, base, at, bucket = unpack(positions.column("blob")[0].as_py())
+    # Answers of the buckets in order are the pairs in order.
     order = np.argsort(np.array(answers.column("chunk").to_pylist()))
-    parts = [unpack(answers.column("blob")[int(i)].as_py()) for i in order]
-    log_p = np.concatenate([p[0] for p in parts]).astype(np.float64)
-    count = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
-    base = np.log10((count + 1) / (n + v + 1))
-    edges = np.cumsum(counts) - counts
-    sums = [np.add.reduceat(x[at], edges) for x in (log_p, base, (count > 0).astype(np.int64))]
-    ids = pa.array(ids, mask=known == 0)
-    return pa.table([ids, pa.array(counts), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0])], schema=_SCORES)
+    log_p = np.concatenate([unpack(answers.column("blob")[int(i)].as_py())[0] for i in order]).astype(np.float64)
+    _, which = np.unique(_codes(at, counts, bucket), return_inverse=True)
+    score = np.add.reduceat(log_p[which], np.cumsum(counts) - counts)
+    return pa.table([pa.array(ids, mask=known == 0), pa.array(counts), pa.array(n_known), pa.array(base - counts * np.log10(n + v + 1.0)), pa.array(score)], schema=_SCORES)
 
 
-def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, samples: int = SAMPLES) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row; ``learn`` says which rows train."""
-    spark = docs.sparkSession
-    n_buckets = shuffle_partitions(spark)
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    encoded = stored(texts.mapInArrow(lambda b: _encode(b, n_buckets), _DDL), "types")
-    asked = encoded.where("kind = 1")
-    merged = stored(asked.groupBy("key").applyInArrow(lambda t: _merge_types(t, n_buckets), _DDL), "dishes")
+    n_buckets = buckets(texts)
+
+    def grouped(df: DataFrame, run) -> DataFrame:
+        return dealt(df, n_buckets).groupBy("key").applyInArrow(run, _DDL)
+
+    def both(left: DataFrame, right: DataFrame, run, ddl: str = _DDL) -> DataFrame:
+        return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(run, ddl)
+
+    def of_kind(df: DataFrame, kind: int) -> DataFrame:
+        return df.where(F.col("kind") == kind)
 
     def summed(df: DataFrame, size: int) -> list[int]:
         sums = np.zeros(size, np.int64)
-        for r in df.where(F.col("kind") == SUMS).select("blob").toLocalIterator():  # a few numbers for each bucket
+        for r in of_kind(df, SUMS).select("blob").toLocalIterator():  # a few numbers for each bucket
             sums += unpack(r["blob"])[0]
         return sums.tolist()
 
+    sent = dealt(texts.mapInArrow(lambda b: _split(b, n_buckets), _DDL), n_buckets)
+    numbered = dealt(sent.groupBy("key").applyInArrow(lambda t: _number(t, n_buckets), _DDL), n_buckets)
+    paired = stored(both(sent, numbered, lambda p, a: _pair(p, a, n_buckets)), "pairs")
+    n, v, once, twice = summed(paired, 4)
+    asked = of_kind(paired, PAIRS)
+    merged = stored(grouped(asked, lambda t: _merge(t, n_buckets)), "dishes")
+    single, double = summed(merged, 2)
     discount = lambda one, two: float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
-    n, v, once, twice, single, double = summed(merged, 6)
     totals = Totals(n, v, discount(once, twice), discount(single, double), np.zeros(1, np.int64))
-    dishes = merged.where(F.col("kind") == DISHES)
-    places = stored(merged.where(F.col("kind") == SENT).groupBy("key").applyInArrow(_place, _DDL), "places")
-    held, samples = [], []
-    for s in range(SWEEPS + 1):
-        home = dishes.unionByName(places)
+    customers = stored(grouped(of_kind(merged, SENT), lambda t: _add(t, CUSTOMERS)), "customers")
+    bucket = merged.where(F.col("kind").isin(DISHES, NAMES)).unionByName(customers)
+    held, kept = [], []
+    for s in range(sweeps + 1):
+        home = bucket
         for df in held:
             home = home.unionByName(df)
-        seated = stored(home.groupBy("key").applyInArrow(lambda t: _reseat(t, totals, s), _DDL), "seats")
-        tables = stored(seated.where(F.col("kind") == SENT + s).groupBy("key").applyInArrow(lambda t: _add_tables(t, s), _DDL), "tables")
+        seated = stored(grouped(home, lambda t: _reseat(t, totals, s, n_buckets)), "seats")
+        tables = stored(grouped(of_kind(seated, SENT + s), lambda t: _add(t, TABLES + s)), "tables")
         totals = Totals(n, v, totals.root_discount, totals.discount, totals.customers, (), (*totals.root, tuple(summed(seated, 2))))
-        held = [seated.where(F.col("kind") == SEATS + s), tables]
-        samples += held if s > SWEEPS - SAMPLES else []
-    home = dishes.unionByName(places).unionByName(merged.where(F.col("kind") == NAMES))
-    for df in samples:
+        if s > 0 and s - 1 <= sweeps - samples:
+            discard(*before)
+        before, held = (seated, tables), [of_kind(seated, SEATS + s), tables]
+        kept += held if s > sweeps - samples else []
+    home = bucket
+    for df in kept:
         home = home.unionByName(df)
-    answers = asked.groupBy("key").cogroup(home.groupBy("key")).applyInArrow(lambda a, h: _answer(a, h, totals), _DDL)
-    scored = (
-        encoded.where("kind = 0")
-        .groupBy("key")
-        .cogroup(answers.groupBy("key"))
-        .applyInArrow(lambda p, a: _score(p, a, n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    )
+    answers = both(dealt(asked, n_buckets), dealt(home, n_buckets), lambda a, h: _predict(a, h, totals, n_buckets, sweeps, samples))
+    scored = both(dealt(of_kind(paired, DOCUMENTS), n_buckets), dealt(answers, n_buckets), lambda p, a: _score(p, a, n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -3,6 +3,13 @@ import random
 import pytest
 
 from llm_tables import make
+from lodegraph.llm import common
+
+
+@pytest.fixture(autouse=True)
+def several_buckets(monkeypatch):
+    """Small tables, too, are dealt out to several buckets."""
+    monkeypatch.setattr(common, "BUCKET_LEAST", 1)
 
 
 @pytest.fixture(scope="session")
