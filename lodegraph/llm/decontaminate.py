@@ -8,20 +8,20 @@ lower-cased; shingles are sequences of five words, hashed to 64 bits.
    some item stands: moving a window to its first shared shingle loses none of
    the shared ones. A start too near the end of the text moves back to the last
    window; a text shorter than the item is one window.
-2. A window's 64-bit SimHash sums its shingles' bits with their multiplicities.
+2. Shingles are numbered by occurrence: the second "a b c d e" of a window is
+   another element than the first. Weighted Jaccard similarity, sum of minima
+   over sum of maxima of multiplicities, then is that of two sets of distinct
+   elements. A window's 64-bit SimHash takes a majority of its elements' bits.
 3. Fingerprints are cut into eight blocks of eight bits. Two fingerprints within
    ``RADIUS`` = 23 differ in at most two bits in one of the blocks, so items are
    indexed under every block value at most two bits away, and a join by (size,
    block, value) finds every window within the radius.
-4. A candidate counts if its weighted Jaccard similarity with the item, sum of
-   minima over sum of maxima of shingle multiplicities, is at least
-   ``percent`` / 100.
+4. A candidate counts if its weighted Jaccard similarity with the item is at
+   least ``percent`` / 100. Only candidates are cut out of their documents again.
 
-Shingles that stand for 80 % of those of an item flip each bit of a fingerprint
-with probability below 0.16 (mean 10, deviation 3), so the radius leaves more
-than four deviations where shingles are distinct. A repeated shingle weighs more
-in a fingerprint; pairs in which the window or the item repeats one are
-candidates whenever they share a shingle, at any distance.
+Elements that two sets of similarity 0.8 share are 89 % of each, so a bit of the
+fingerprints differs with probability below 0.16 (mean 10, deviation 3) and the
+radius leaves more than four deviations, whatever repeats.
 
 The item side (shingles, block values) is broadcast after its rows have been
 counted and found below a bound; beyond it the joins shuffle. The document
@@ -79,12 +79,12 @@ def simhash(shingles: Column) -> Column:
     return fingerprint
 
 
-def shared(a: Column, b: Column) -> Column:
-    """Sum over shingles of the smaller multiplicity."""
-    plain = F.size(F.array_intersect(a, b))
-    counted = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda acc, h: acc + F.least(F.size(F.filter(a, lambda x: x == h)), F.size(F.filter(b, lambda x: x == h))))
-    distinct = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    return F.when(distinct, plain).otherwise(counted)
+def elements(shingles: Column) -> Column:
+    """Distinct elements: every shingle's hash with the number of its occurrence."""
+    ordered = F.array_sort(shingles)
+    numbered = F.transform(ordered, lambda h, i: F.xxhash64(h, (i + 1 - F.array_position(ordered, h)).cast("long")))
+    plain = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(0).cast("long")))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(numbered)
 
 
 def _block(fingerprint: Column, i: int) -> Column:
@@ -115,7 +115,8 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int
     by_length = F.lit(None).cast("array<bigint>")
     for k in lengths:
         by_length = F.when(F.col("k") == k, _gram(F.col("w"), k)).otherwise(by_length)
-    items = stored(items.withColumn("grams", by_length).select("item_id", "n", "k", "grams", F.when(F.size("grams") < 1 << 16, simhash(F.col("grams"))).otherwise(F.raise_error(F.lit("item too long")).cast("long")).alias("item_print")), "items")
+    items = items.withColumn("grams", by_length).withColumn("item_elements", F.when(F.size("grams") < 1 << 16, elements(F.col("grams"))).otherwise(F.raise_error(F.lit("item too long")).cast("array<bigint>")))
+    items = stored(items.select("item_id", "n", "k", "grams", "item_elements", simhash(F.col("item_elements")).alias("item_print")), "items")
 
     # Where an item's shingles stand, and the sizes of the windows to open there.
     anchors = _item_side(items.select("k", "n", F.explode("grams").alias("h")).distinct())
@@ -138,59 +139,45 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int
         keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["text_hash"] == F.col("t")),
         "left_semi",
     ).dropDuplicates(["doc_id", "text_hash"])
-    held = held.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), words(F.col("text")).alias("w"))
-    opened = starts.join(held, starts["doc_id"].eqNullSafe(held["d"]) & (starts["text_hash"] == held["t"]))
-    grams = F.lit(None).cast("array<bigint>")
-    for k in lengths:
-        grams = F.when(F.col("k") == k, _gram(F.col("w"), k)).otherwise(grams)
-    windows = (
-        opened.select("doc_id", "text_hash", "k", "n", "starts", grams.alias("all"))
-        .select("doc_id", "text_hash", "n", "k", F.explode("starts").alias("start"), "all")
-        .select("doc_id", "text_hash", "n", "start", F.slice("all", F.col("start") + 1, F.col("n") - F.col("k") + 1).alias("grams"))
-    )
-    windows = windows.withColumn("window_print", simhash(F.col("grams")))
+    held = stored(held.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), words(F.col("text")).alias("w")), "held")
+
+    def cut(places: DataFrame) -> DataFrame:
+        """``places`` (``doc_id, text_hash, k, places: array of (n, start, ...)``) with each place's elements."""
+        grams = F.lit(None).cast("array<bigint>")
+        for k in lengths:
+            grams = F.when(F.col("k") == k, _gram(F.col("w"), k)).otherwise(grams)
+        joined = places.join(held, places["doc_id"].eqNullSafe(held["d"]) & (places["text_hash"] == held["t"])).select("doc_id", "text_hash", "k", "places", grams.alias("all"))
+        each = joined.select("doc_id", "text_hash", "k", "all", F.explode("places").alias("at")).select("doc_id", "text_hash", "k", "at.*", "all")
+        grams = each.withColumn("grams", F.slice("all", F.col("start") + 1, F.col("n") - F.col("k") + 1)).drop("all")
+        return grams.withColumn("elements", elements(F.col("grams"))).drop("grams")
+
+    at = F.transform("starts", lambda x: F.struct(F.col("n").alias("n"), x.alias("start")))
+    windows = cut(starts.select("doc_id", "text_hash", "k", at.alias("places")))
+    windows = stored(windows.select("doc_id", "text_hash", "k", "n", "start", simhash(F.col("elements")).alias("window_print")), "windows")
 
     blocks = F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("item_print"), i).alias("value")) for i in range(BLOCKS)))
     masks = F.array(*(F.lit(m) for m in _near_masks()))
     index = (
-        items.select("item_id", "n", "item_print", F.col("grams").alias("item_grams"), F.explode(blocks).alias("b"))
-        .select("item_id", "n", "item_print", "item_grams", F.col("b.block").alias("block"), "b.value", F.explode(masks).alias("mask"))
+        items.select("item_id", "n", "item_print", F.explode(blocks).alias("b"))
+        .select("item_id", "n", "item_print", F.col("b.block").alias("block"), "b.value", F.explode(masks).alias("mask"))
         .select("item_id", "n", "item_print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     )
     own = F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("window_print"), i).alias("value")) for i in range(BLOCKS)))
-    windows = stored(windows, "windows")
-    probes = windows.select("doc_id", "text_hash", "n", "start", "window_print", F.explode(own).alias("b")).select(
-        "doc_id", "text_hash", "n", "start", "window_print", F.col("b.block").alias("block"), F.col("b.value").alias("value")
+    probes = windows.select("doc_id", "text_hash", "k", "n", "start", "window_print", F.explode(own).alias("b")).select(
+        "doc_id", "text_hash", "k", "n", "start", "window_print", F.col("b.block").alias("block"), F.col("b.value").alias("value")
     )
-    hamming = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
     near = (
         probes.join(_item_side(index), ["n", "block", "value"])
-        .withColumn("hamming", hamming)
+        .withColumn("hamming", F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))).cast("int"))
         .where(F.col("hamming") <= RADIUS)
-        .select("doc_id", "text_hash", "n", "start", "item_id", "hamming")
-        .distinct()
-    )
-    # Fingerprints do not bound the similarity where shingles repeat: there, every item that shares one is verified.
-    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
-    owners = items.select("item_id", F.col("n").alias("m"), "item_print", repeats.alias("item_repeats"), F.explode(F.array_distinct("grams")).alias("h"))
-    sizes = items.where(repeats).select(F.col("n").alias("m")).distinct()
-    exploded = lambda df: df.select("doc_id", "text_hash", "n", "start", "window_print", repeats.alias("window_repeats"), F.explode(F.array_distinct("grams")).alias("h"))
-    some = exploded(windows.where(repeats)).unionByName(exploded(windows.where(~repeats).join(sizes, F.col("n") == F.col("m"), "left_semi")))
-    far = (
-        some.join(_item_side(owners).withColumnRenamed("h", "g"), F.expr("n = m and h = g"))
-        .where("window_repeats or item_repeats")
-        .select("doc_id", "text_hash", "n", "start", "item_id", hamming.alias("hamming"))
+        .select("doc_id", "text_hash", "k", "n", "start", "item_id", "hamming")
         .distinct()
     )
-    near = near.unionByName(far).distinct()
-    keys = ["text_hash", "n", "start"]
+    candidates = cut(near.groupBy("doc_id", "text_hash", "k").agg(F.collect_list(F.struct("n", "start", "item_id", "hamming")).alias("places")))
     verified = (
-        near.alias("c")
-        .join(windows.alias("w"), F.expr("c.doc_id <=> w.doc_id and c.text_hash = w.text_hash and c.n = w.n and c.start = w.start"))
-        .select("c.doc_id", *(f"c.{x}" for x in keys), "c.item_id", "c.hamming", "w.grams")
-        .join(items.select(F.col("item_id").alias("i"), F.col("n").alias("m"), F.col("grams").alias("item_grams")), F.expr("item_id <=> i and n = m"))
-        .withColumn("n_shared", shared(F.col("grams"), F.col("item_grams")))
-        .withColumn("n_union", F.size("grams") + F.size("item_grams") - F.col("n_shared"))
+        candidates.join(items.select(F.col("item_id").alias("i"), F.col("n").alias("m"), "item_elements"), F.expr("item_id <=> i and n = m"))
+        .withColumn("n_shared", F.size(F.array_intersect("elements", "item_elements")))
+        .withColumn("n_union", F.size("elements") + F.size("item_elements") - F.col("n_shared"))
         .where(F.col("n_shared") * 100 >= F.col("n_union") * percent)
     )
     # n_shared / n_union rises with n_shared and falls with the window's size, which the start alone decides.
