@@ -18,11 +18,26 @@ that no other document has is in no intersection, so sets with fewer than T % of
 shared shingles have no partner and need no index entries; that is exact, not a
 sample. Equal sets are one node from then on.
 
-Candidates of a subset's group are not expanded into all pairs: the smallest set
-of the group meets all the others, and verified links give components. The sets
-of a group's largest component are settled then; the others seek all sets of the
-group that are in other components. So every link between different components
-is found, and copies cost no more than their number.
+Candidates of a subset's group are not expanded into all pairs: the group's hub,
+the set that shares most subsets with others, meets all the others, and verified
+links give components. The sets of a group's largest component are settled then;
+the others seek the sets of the group that are in other components. Where few
+seek, they meet these directly. Where many do, distances to the hub come first:
+sketches bound them from below, and where the bound is small whole sets tell.
+Since 1 - similarity is a metric, sets whose distances to the hub differ by more
+than a link's are not linked. Thousands of sets can be similar to the hub and
+to one another without being linked; those within ``NEAR`` of it meet by what
+tells them from the hub: the distance of two sets is that of their differences
+from the hub, and of two sets of different components at least one, say U, is
+not linked with the hub. Then a link needs differences that share elements, at
+least
+
+    (q |dU| - r (|U| + |hub|)) / 2q    for U, and more than
+    (q |dA| + r (|hub| - |A|)) / 2q    for its partner A,    q = 100 + T, r = 100 - T
+
+of them, so by the prefix principle two linked sets share one of their rarest
+differences. Only sets that do become pairs. Every link between different
+components is found, and copies cost no more than their number.
 
 Verification counts equal 64-bit shingle hashes of both whole sets.
 
@@ -43,16 +58,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodegraph.llm.common import pack, shuffle_partitions, stored, unpack, whole_text
+from lodegraph.llm.common import buckets, pack, ship, stored, tidied, tidy, unpack, whole_text
 from lodegraph.llm.components import components
-from lodegraph.llm.packed import Numbers, chunks, rows
+from lodegraph.llm.packed import Numbers, chunks, dealt, rows
 
 #: A subset with more sets than this is frequent.
 FREQUENT = 64
-#: So many sets of a group seek others in the first round.
-SLICE = 256
-#: Sets to rebuild are broadcast up to this many (some 40 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1 << 19
+#: Up to so many sets of a group seek others directly.
+DIRECT = 16
+#: Distance to the hub up to which sets of groups with more meet by their differences from it.
+NEAR = 0.4
+#: Sets to rebuild are broadcast up to this many (some 15 MB); beyond it the join shuffles.
+BROADCAST_ROWS = 1 << 17
 BAND_RATIO = 1.5
 #: Classes of the smallest sketch.
 SKETCH = 128
@@ -61,8 +78,8 @@ NEIGHBOURHOOD_SHARE = 12
 #: Bytes of text in a chunk; a task's arrays take some 15 times as much.
 CHUNK = 6 << 20
 
-_SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("alive", pa.bool_())])
+_SENT = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("alive", pa.bool_())])
 _U = np.uint64
 
 
@@ -101,7 +118,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _send_shingles(batches, size: int, n_buckets: int):
-    for key, held in chunks(batches, ("doc_id", "text"), "text", CHUNK):
+    for key, held in chunks(batches, ("doc_id", "h", "text"), "text", CHUNK):
         sets = _word_sets(held["text"], size)
         counts = np.fromiter(map(len, sets), np.int64, len(sets))
         prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
@@ -115,7 +132,7 @@ def _send_shingles(batches, size: int, n_buckets: int):
         order = np.argsort((bucket.astype(np.uint64) << _U(32)) | part)
         bucket, part, doc = bucket[order], part[order], doc[order]
         doc = doc.astype(np.uint16) if len(sets) < 1 << 16 else doc
-        sent = [(key, 0, key, pack(ids, known, counts, prints[:, 0].copy(), prints[:, 1].copy()))]
+        sent = [(key, 0, key, pack(ids, known, np.array(held["h"], np.int64), counts, prints[:, 0].copy(), prints[:, 1].copy()))]
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
         for a, z in zip(edges, edges[1:]):
             steps = np.diff(part[a:z], prepend=_U(0))
@@ -124,11 +141,11 @@ def _send_shingles(batches, size: int, n_buckets: int):
             sent.append((int(bucket[a]), 1, key, pack(np.array([len(sets)]), steps, doc[a:z])))
         for at in range(0, len(sent), 64):
             yield from rows(_SENT, sent[at : at + 64]).to_batches()
-        pa.default_memory_pool().release_unused()
 
 
 def _count_shared(table: pa.Table) -> pa.Table:
     """For every chunk: how many of each document's shingles in this bucket another document has, too."""
+    tidy()
     found = [(c, unpack(b)) for k, c, b in zip(*(table.column(x).to_pylist() for x in ("kind", "chunk", "blob"))) if k == 1]
     if not found:
         return _SENT.empty_table()
@@ -148,15 +165,16 @@ def _count_shared(table: pa.Table) -> pa.Table:
 
 
 def _decide(docs: pa.Table, answers: pa.Table, percent: int) -> pa.Table:
+    tidy()
     held = [b for k, b in zip(docs.column("kind").to_pylist(), docs.column("blob").to_pylist()) if k == 0]
     if not held:
         return _SETS.empty_table()
-    ids, known, counts, s1, s2 = unpack(held[0])
+    ids, known, h, counts, s1, s2 = unpack(held[0])
     shared = np.zeros(len(ids), np.int64)
     for blob in answers.column("blob").to_pylist():
         shared += unpack(blob)[0]
     alive = (counts > 0) & (100 * shared >= percent * counts)
-    return pa.table([pa.array(ids, mask=known == 0), pa.array(counts), pa.array(s1), pa.array(s2), pa.array(alive)], schema=_SETS)
+    return pa.table([pa.array(ids, mask=known == 0), pa.array(h), pa.array(counts), pa.array(s1), pa.array(s2), pa.array(alive)], schema=_SETS)
 
 
 # ---- pass 2: sets of the documents that can have partners --------------------------------
@@ -169,7 +187,7 @@ def _rebuild(batches, size: int):
         texts, ids = b.column("text").to_pylist(), b.column("sid").to_pylist()
         for at in range(0, len(texts), 256):
             for i, s in enumerate(_word_sets(texts[at : at + 256], size), at):
-                if fingerprint(s) == want[i]:  # another row of the same id may have another text
+                if fingerprint(s) == want[i]:  # texts of equal hash may differ
                     sid.append(ids[i])
                     out.append(s.tobytes())
                     sketches.append(sketch(s))
@@ -225,17 +243,19 @@ def _entries(batches, percent: int):
         ids = b.column("sid").to_pylist()
         for at in range(0, len(ids), 512):
             parts = [subsets(np.frombuffer(x.as_py(), np.uint64), percent) for x in b.column("shingles")[at : at + 512]]
-            sid = np.repeat(np.array(ids[at : at + 512], np.int64), [len(p[0]) for p in parts])
+            many = [len(p[0]) for p in parts]
+            sid = np.repeat(np.array(ids[at : at + 512], np.int64), many)
+            n = np.repeat(np.array([len(x.as_py()) // 8 for x in b.column("shingles")[at : at + 512]], np.int32), many)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(sid), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.concatenate([p[3] for p in parts]))],
-                names=["key", "sid", "slot", "deletion", "spare"],
+                [pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(sid), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.concatenate([p[3] for p in parts])), pa.array(n)],
+                names=["key", "sid", "slot", "deletion", "spare", "n"],
             )
 
 
 def sketch(s: np.ndarray) -> bytes:
     """How many elements fall into each class, up to 255; a power of two of classes, more for larger sets."""
     classes = SKETCH
-    while classes * 12 < len(s):
+    while classes * 2 < len(s):
         classes *= 2
     return np.minimum(np.bincount((s >> _U(24)).astype(np.int64) & (classes - 1), minlength=classes), 255).astype(np.uint8).tobytes()
 
@@ -263,12 +283,45 @@ def _verify(batches, percent: int):
         kept = []
         for x, y in zip(b.column("x"), b.column("y")):
             p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            at = np.searchsorted(q, p)
-            both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+            both = _common(p, q)
             kept.append(100 * both >= percent * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _bounds(batches):
+    """Lower bounds of the distances of sets to their hubs, by sketches."""
+    for b in batches:
+        d = []
+        for x, y, nx, ny in zip(*(b.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))):
+            total, apart = (nx + ny) // 8, sketch_difference(x, y)
+            d.append(1 - (total - apart) / (total + apart))
+        yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("sid"), b.column("cluster"), pa.array(d, pa.float64())], names=["hub", "sid", "cluster", "d"])
+
+
+def _rings(batches):
+    """Distances of sets to their hubs, and of near ones what tells them from the hub."""
+    for b in batches:
+        n, m, d, delta = [], [], [], []
+        for x, y in zip(b.column("x"), b.column("y")):
+            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = _common(p, q)
+            n.append(len(p))
+            m.append(len(q))
+            d.append(1 - both / (len(p) + len(q) - both))
+            delta.append(np.setxor1d(p, q, assume_unique=True).view(np.int64) if d[-1] <= NEAR else np.zeros(0, np.int64))
+        ends = np.cumsum([0, *map(len, delta)]).astype(np.int32)
+        flat = np.concatenate(delta) if delta else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("hub"), b.column("sid"), b.column("cluster"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(d, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+            names=["hub", "sid", "cluster", "n", "m", "d", "delta"],
+        )
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    at = np.searchsorted(q, p)
+    return int((q[np.minimum(at, len(q) - 1)] == p).sum())
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs that are links: sketches rule out most others, whole sets decide the rest.
 
@@ -276,14 +329,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
     """
     x = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("x"), F.col("bytes").alias("nx"))
     y = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("y"), F.col("bytes").alias("ny"))
-    near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(lambda b: _can_link(b, percent), "a long, b long"), "near")
+    near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(tidied(lambda b: _can_link(b, percent)), "a long, b long"), "near")
     x = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    return stored(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, percent), "a long, b long"), name)
+    return stored(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(lambda b: _verify(b, percent)), "a long, b long"), name)
 
 
 def _allocated(entries: DataFrame) -> DataFrame:
-    """``key, sid, probe`` of the groups that are left after allocation by cost.
+    """``key, sid, probe, n, size`` of the groups that are left after allocation by cost.
 
     A segment with a neighbourhood can take a difference of one if none of its own
     entries is in a frequent group; a set leaves out as many of its frequent
@@ -293,7 +346,7 @@ def _allocated(entries: DataFrame) -> DataFrame:
     """
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.max((~F.col("deletion")).cast("int")).alias("whole")).where("size > 1 and whole = 1")
     grouped = stored(entries.join(sizes.select("key", "size"), "key"), "groups")
-    rare = grouped.where(F.col("size") <= FREQUENT).select("key", "sid", F.lit(True).alias("probe"))
+    rare = grouped.where(F.col("size") <= FREQUENT).select("key", "sid", F.lit(True).alias("probe"), "n", "size")
     dear = grouped.where(F.col("size") > FREQUENT)
     segment, band = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("slot", 32)
     taken = dear.where(segment < F.col("spare")).groupBy("sid", band.alias("band")).agg(F.countDistinct("slot").alias("taken"))
@@ -304,70 +357,116 @@ def _allocated(entries: DataFrame) -> DataFrame:
         .join(taken, ["sid", "band"], "left")
         .withColumn("probe", F.row_number().over(order) > F.col("spare") - F.coalesce("taken", F.lit(0)))
     )
-    return stored(rare.unionByName(whole.select("key", "sid", "probe")), "candidates")
+    return stored(rare.unionByName(whole.select("key", "sid", "probe", "n", "size")), "candidates")
+
+
+def _by_difference(rings: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different clusters that are near one hub and share one of their rarest differences from it."""
+    near = rings.where(F.col("d") <= NEAR)
+    mixed_ = near.groupBy("hub").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("hub")
+    deltas = near.join(mixed_, "hub")
+    each = deltas.select("hub", "sid", F.explode("delta").alias("e"))
+    often = each.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1")  # what only one set has makes no pair
+    several = each.join(often, ["hub", "e"]).groupBy("hub", "sid").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("several"))
+    q, r = 100 + percent, 100 - percent
+    size = F.size("delta")
+    least_index = F.floor((r * (F.col("m") - F.col("n")) + q * size) / F.lit(2 * q)) + 1
+    least_probe = F.greatest(F.lit(1), F.ceil((q * size - r * (F.col("n") + F.col("m"))) / F.lit(2 * q)))
+    # The rarest differences come first, those of one set alone before the others.
+    prefix = lambda least: F.slice("several", 1, F.greatest(F.lit(0), F.size("several") - least + 1).cast("int"))
+    sorted_ = deltas.join(several, ["hub", "sid"])
+    index = sorted_.select("hub", "sid", "cluster", "n", size.alias("d"), F.explode(prefix(least_index)).alias("s")).select("hub", F.col("s.e").alias("e"), "sid", "cluster", "n", "d")
+    unlinked = q * size > r * (F.col("n") + F.col("m"))
+    probe = sorted_.where(unlinked).select("hub", F.col("sid").alias("p"), F.col("cluster").alias("c"), F.col("n").alias("np"), size.alias("dp"), F.explode(prefix(least_probe)).alias("s"))
+    probe = probe.select("hub", F.col("s.e").alias("e"), "p", "c", "np", "dp")
+    close = (F.abs(F.col("d") - F.col("dp")) * q <= r * (F.col("n") + F.col("np"))) & _sizes_allow("n", "np", percent)
+    met = index.join(probe, ["hub", "e"]).where((F.col("cluster") != F.col("c")) & close)
+    return met.select(F.greatest("sid", "p").alias("a"), F.least("sid", "p").alias("b"))
+
+
+def _sizes_allow(n: str, m: str, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def _clusters(sets: DataFrame, percent: int) -> DataFrame:
     """``node, label`` of the sets that are linked with another one."""
-    entries = sets.select("sid", "shingles").mapInArrow(lambda b: _entries(b, percent), "key long, sid long, slot long, deletion boolean, spare int")
+    entries = sets.select("sid", "shingles").mapInArrow(tidied(lambda b: _entries(b, percent)), "key long, sid long, slot long, deletion boolean, spare int, n int")
     groups = _allocated(entries)
-    # Round 1: the smallest set of every needed group meets the others.
-    hubs = groups.groupBy("key").agg(F.min("sid").alias("b"), F.max("probe").alias("needed")).where("needed").select("key", "b")
-    links = _links(groups.join(hubs, "key").where("sid > b").select(F.col("sid").alias("a"), "b").distinct(), sets, percent, "links")
+    # Round 1: the hub of every needed group meets the others.
+    central = groups.groupBy("sid").agg(F.sum("size").alias("score"))
+    hub = F.max_by(F.struct("sid", "n"), F.struct("score", -F.col("sid"))).alias("hub")
+    hubs = groups.join(central, "sid").groupBy("key").agg(hub, F.max("probe").alias("needed")).where("needed")
+    hubs = stored(hubs.select("key", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("m")), "hubs")
+    pairs = groups.join(hubs, "key").where((F.col("sid") != F.col("hub")) & _sizes_allow("n", "m", percent))
+    links = _links(pairs.select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent, "links")
     labels = components(links)
 
-    def clustered(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, rows["sid"] == labels["node"], "left").select(*(rows[c] for c in rows.columns), F.coalesce("label", "sid").alias("cluster"))
-
     # In every group the sets of its largest component are settled: they are linked with one another, and the others seek them.
-    now = clustered(groups)
-    parts = now.groupBy("key", "cluster").agg(F.count("*").alias("n"), F.max("probe").alias("probes"))
-    main = parts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("probes").alias("needed"))
-    main = main.where("parts > 1 and needed").select("key", "main", "size")
-    groups = stored(now.join(main, "key").select("key", "sid", "probe", (F.col("cluster") == F.col("main")).alias("settled"), "size"), "open")
-    done = 0
-    while not groups.isEmpty():
-        # A slice of the seeking sets meets the other sets of its groups; slices double, so rounds are few.
-        until = done + SLICE * max(1, done // SLICE + 1)
-        place = F.pmod(F.xxhash64("key", "sid"), F.lit(1 << 20)) * F.col("size") / F.lit(1 << 20)
-        now = stored(clustered(groups), "now")
-        seeking = now.where(~F.col("settled") & (place >= done) & (place < until)).select(F.col("key").alias("k"), F.col("sid").alias("p"), F.col("cluster").alias("c"), F.col("probe").alias("probing"))
-        met = now.join(seeking, (F.col("key") == F.col("k")) & (F.col("cluster") != F.col("c")) & (F.col("probing") | (F.col("settled") & F.col("probe"))))
-        pairs = met.select(F.greatest("sid", "p").alias("a"), F.least("sid", "p").alias("b")).distinct()
-        more = _links(pairs, sets, percent, "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-        done = until
-        groups = groups.where(F.col("size") > done)
-    return labels
-
-
-def join(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    ddl = "key long, kind int, chunk long, blob binary"
-    sent = texts.mapInArrow(lambda b: _send_shingles(b, shingle, n), ddl).repartition(n, "key")
-    shared = sent.groupBy("key").applyInArrow(_count_shared, ddl)
+    now = groups.join(labels, groups["sid"] == labels["node"], "left").select("key", "sid", "probe", "n", "size", F.coalesce("label", "sid").alias("cluster"))
+    parts = now.groupBy("key", "cluster").agg(F.count("*").alias("k"), F.max("probe").alias("probes"))
+    main = parts.groupBy("key").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("main"), (F.sum("k") - F.max("k")).alias("seekers"), F.max("probes").alias("needed"))
+    main = main.where("seekers > 0 and needed").select("key", "main", "seekers")
+    open_ = stored(now.join(main, "key").withColumn("settled", F.col("cluster") == F.col("main")).drop("main"), "open")
+
+    def met(rows: DataFrame, *more: str, close=F.lit(True)) -> DataFrame:
+        """Sets that are not settled meet the others of their groups that sizes, and ``close``, allow."""
+        seeking = rows.where("not settled").select(*(F.col(c).alias(f"_{c}") for c in ("key", "sid", "cluster", "probe", "n", *more)))
+        looks_up = F.col("_probe") | (F.col("settled") & F.col("probe"))
+        pairs = rows.join(seeking, (F.col("key") == F.col("_key")) & (F.col("cluster") != F.col("_cluster")) & looks_up & _sizes_allow("n", "_n", percent) & close)
+        return pairs.select(F.greatest("sid", "_sid").alias("a"), F.least("sid", "_sid").alias("b"))
+
+    wide = open_.where(F.col("seekers") > DIRECT).join(hubs, "key").where("sid <> hub")
+    members = wide.select("hub", "sid", "cluster").distinct()
+
+    def beside_hubs(rows: DataFrame, column: str) -> DataFrame:
+        x = sets.select("sid", F.col(column).alias("x"), F.col("bytes").alias("nx"))
+        y = sets.select(F.col("sid").alias("hub"), F.col(column).alias("y"), F.col("bytes").alias("ny"))
+        return rows.join(x, "sid").join(y, "hub").select("hub", "sid", "cluster", "x", "y", "nx", "ny")
+
+    bounds = stored(beside_hubs(members, "sketch").mapInArrow(tidied(_bounds), "hub long, sid long, cluster long, d double"), "bounds")
+    whole = beside_hubs(bounds.where(F.col("d") <= NEAR).drop("d"), "shingles")
+    rings = stored(whole.mapInArrow(tidied(_rings), "hub long, sid long, cluster long, n int, m int, d double, delta array<long>"), "rings")
+    distances = rings.select("hub", "sid", "d").unionByName(bounds.where(F.col("d") > NEAR).select("hub", "sid", "d"))
+    # Beyond NEAR a distance may be a lower bound.
+    apart = (F.least("d", "_d") <= NEAR) & (F.abs(F.col("d") - F.col("_d")) > 1 - percent / 100 + 1e-9)
+    far = (F.greatest("d", "_d") > NEAR) & ~apart
+    pairs = met(open_.where(F.col("seekers") <= DIRECT)).unionByName(met(wide.join(distances, ["hub", "sid"]), "d", close=far)).unionByName(_by_difference(rings, percent))
+    more = _links(pairs.distinct(), sets, percent, "links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def join(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", members: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; with ``members`` also ``text_hash`` (xxhash64) and ``cluster``, a number
+    that rows of one component share and others do not, also where ids repeat or are null (null: surely linked with nothing)."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).alias("text"))
+    n = buckets(texts)
+    ddl = "key int, kind int, chunk long, blob binary"
+    sent = dealt(texts.mapInArrow(lambda b: _send_shingles(b, shingle, n), ddl), n)
+    shared = dealt(sent.groupBy("key").applyInArrow(_count_shared, ddl), n)
     every = stored(
-        sent.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(lambda d, a: _decide(d, a, percent), "doc_id long, n long, s1 long, s2 long, alive boolean"), "sets"
+        sent.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(lambda d, a: _decide(d, a, percent), "doc_id long, h long, n long, s1 long, s2 long, alive boolean"), "sets"
     )
-    equal = every.where("alive").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"))
+    # A set is rebuilt from one of its rows, one with an id if there is any.
+    rows_of = every.where("alive").groupBy("s1", "s2", "n", "doc_id", "h").agg(F.count("*").alias("copies"))
+    chosen = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "h", "copies")).alias("row")
+    equal = rows_of.groupBy("s1", "s2", "n").agg(chosen).select("s1", "s2", "n", "row.doc_id", "row.h", "row.copies")
     nodes = stored(equal.withColumn("sid", F.monotonically_increasing_id()), "nodes")
-    wanted = nodes.select("doc_id", "s1", "s2", "sid")
+    wanted = nodes.select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "s1", "s2", "sid", "copies")
     if nodes.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = stored(
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]))
-        .select("sid", "s1", "s2", "text")
-        .mapInArrow(lambda b: _rebuild(b, shingle), "sid long, bytes int, shingles binary, sketch binary"),
-        "shingles",
-    )
+    found = texts.join(wanted, (texts["h"] == wanted["t"]) & texts["doc_id"].eqNullSafe(wanted["d"])).select("sid", "s1", "s2", "copies", "text")
+    # Rows that repeat id and text are one.
+    repeated = found.where("copies > 1").groupBy("sid").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("text").alias("text"))
+    found = found.where("copies = 1").select("sid", "s1", "s2", "text")
+    if not nodes.where("copies > 1").isEmpty():
+        found = found.unionByName(repeated)
+    sets = stored(found.mapInArrow(tidied(lambda b: _rebuild(b, shingle)), "sid long, bytes int, shingles binary, sketch binary"), "shingles")
     labels = _clusters(sets, percent)
     of_node = nodes.join(labels, nodes["sid"] == labels["node"], "left").select("s1", "s2", "n", "doc_id", F.coalesce("label", "sid").alias("cluster"))
     smallest = of_node.groupBy("cluster").agg(F.min("doc_id").alias("component_id"))
-    named = of_node.join(smallest, "cluster").select("s1", "s2", "n", "component_id")
-    alone = every.where("not alive").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return every.where("alive").join(named, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    named = of_node.join(smallest, "cluster").select("s1", "s2", "n", "component_id", "cluster")
+    alone = every.where("not alive").select("doc_id", "n", F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("cluster"))
+    found = every.where("alive").join(named, ["s1", "s2", "n"]).select("doc_id", "n", "component_id", "h", "cluster").unionByName(alone)
+    more = [F.col("h").alias("text_hash"), "cluster"] if members else []
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
