@@ -36,7 +36,9 @@ least
     (q |dA| + r (|hub| - |A|)) / 2q    for its partner A,    q = 100 + T, r = 100 - T
 
 of them, so by the prefix principle two linked sets share one of their rarest
-differences. Only sets that do become pairs. Every link between different
+differences. Only sets that do become pairs. A family of near sets has a hub in
+each of its groups; they meet at the most central of these, once for each set,
+and only those far from it stay at the others as well. Every link between different
 components is found, and copies cost no more than their number.
 
 Verification counts equal 64-bit shingle hashes of both whole sets.
@@ -298,8 +300,8 @@ def _bounds(batches):
         yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("sid"), b.column("cluster"), pa.array(d, pa.float64())], names=["hub", "sid", "cluster", "d"])
 
 
-def _rings(batches):
-    """Distances of sets to their hubs, and of near ones what tells them from the hub."""
+def _rings(batches, reach: float = NEAR):
+    """Distances of sets to their hubs, and of those within ``reach`` what tells them from the hub."""
     for b in batches:
         n, m, d, delta = [], [], [], []
         for x, y in zip(b.column("x"), b.column("y")):
@@ -308,7 +310,7 @@ def _rings(batches):
             n.append(len(p))
             m.append(len(q))
             d.append(1 - both / (len(p) + len(q) - both))
-            delta.append(np.setxor1d(p, q, assume_unique=True).view(np.int64) if d[-1] <= NEAR else np.zeros(0, np.int64))
+            delta.append(np.setxor1d(p, q, assume_unique=True).view(np.int64) if d[-1] <= reach else np.zeros(0, np.int64))
         ends = np.cumsum([0, *map(len, delta)]).astype(np.int32)
         flat = np.concatenate(delta) if delta else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -360,9 +362,33 @@ def _allocated(entries: DataFrame) -> DataFrame:
     return stored(rare.unionByName(whole.select("key", "sid", "probe", "n", "size")), "candidates")
 
 
-def _by_difference(rings: DataFrame, percent: int) -> DataFrame:
+def _central(near: DataFrame, measured, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``near`` with the sets of neighbouring hubs at one of these, their centre, and pairs ``a, b`` of sets with new centres.
+
+    A family of near sets has many hubs, and a set can be near to many of them. Every set chooses its hub with the most sets,
+    and a hub's centre is the choice of most of its sets. Whatever is linked with a set within ``NEAR`` of the centre is within
+    ``NEAR`` and a link's distance of it, so such a set meets all its partners of the hub there and leaves the hub; others stay
+    at the hub as well. ``measured`` gives the rings of hubs and sets, with differences up to that reach.
+    """
+    many = near.groupBy("hub").agg(F.count("*").alias("many"))
+    best = near.join(many, "hub").groupBy("sid").agg(F.max_by("hub", F.struct("many", -F.col("hub"))).alias("best"))
+    votes = near.join(best, "sid").groupBy("hub", "best").agg(F.count("*").alias("votes"))
+    centres = stored(votes.groupBy("hub").agg(F.max_by("best", F.struct("votes", -F.col("best"))).alias("centre")), "centres")
+    moved = near.join(centres, "hub")
+    wanted = moved.select(F.col("centre").alias("hub"), "sid", "cluster").distinct()
+    had = near.join(wanted.select("hub", "sid"), ["hub", "sid"], "left_semi")
+    reach = NEAR + 1 - percent / 100 + 1e-9
+    new = stored(measured(wanted.join(near, ["hub", "sid"], "left_anti"), reach), "central")
+    at_home = had.unionByName(new).where(F.col("d") <= NEAR).select(F.col("hub").alias("centre"), "sid")
+    left = moved.where("centre <> hub").join(at_home, ["centre", "sid"], "left_anti").select(*near.columns)
+    placed = had.unionByName(new.where((F.col("d") <= reach) & (F.col("hub") != F.col("sid"))))
+    placed = placed.unionByName(left.join(wanted.select("hub", "sid"), ["hub", "sid"], "left_anti"))
+    met = new.where((F.col("d") <= 1 - percent / 100 + 1e-9) & (F.col("hub") != F.col("sid")))
+    return stored(placed, "placed"), met.select(F.greatest("sid", "hub").alias("a"), F.least("sid", "hub").alias("b"))
+
+
+def _by_difference(near: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of different clusters that are near one hub and share one of their rarest differences from it."""
-    near = rings.where(F.col("d") <= NEAR)
     mixed_ = near.groupBy("hub").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("hub")
     deltas = near.join(mixed_, "hub")
     each = deltas.select("hub", "sid", F.explode("delta").alias("e"))
@@ -424,13 +450,18 @@ def _clusters(sets: DataFrame, percent: int) -> DataFrame:
         return rows.join(x, "sid").join(y, "hub").select("hub", "sid", "cluster", "x", "y", "nx", "ny")
 
     bounds = stored(beside_hubs(members, "sketch").mapInArrow(tidied(_bounds), "hub long, sid long, cluster long, d double"), "bounds")
-    whole = beside_hubs(bounds.where(F.col("d") <= NEAR).drop("d"), "shingles")
-    rings = stored(whole.mapInArrow(tidied(_rings), "hub long, sid long, cluster long, n int, m int, d double, delta array<long>"), "rings")
+
+    def measured(members: DataFrame, reach: float) -> DataFrame:
+        ddl = "hub long, sid long, cluster long, n int, m int, d double, delta array<long>"
+        return beside_hubs(members, "shingles").mapInArrow(tidied(lambda b: _rings(b, reach)), ddl)
+
+    rings = stored(measured(bounds.where(F.col("d") <= NEAR).drop("d"), NEAR), "rings")
     distances = rings.select("hub", "sid", "d").unionByName(bounds.where(F.col("d") > NEAR).select("hub", "sid", "d"))
     # Beyond NEAR a distance may be a lower bound.
     apart = (F.least("d", "_d") <= NEAR) & (F.abs(F.col("d") - F.col("_d")) > 1 - percent / 100 + 1e-9)
     far = (F.greatest("d", "_d") > NEAR) & ~apart
-    pairs = met(open_.where(F.col("seekers") <= DIRECT)).unionByName(met(wide.join(distances, ["hub", "sid"]), "d", close=far)).unionByName(_by_difference(rings, percent))
+    near, centred = _central(rings.where(F.col("d") <= NEAR), measured, percent)
+    pairs = met(open_.where(F.col("seekers") <= DIRECT)).unionByName(met(wide.join(distances, ["hub", "sid"]), "d", close=far)).unionByName(_by_difference(near, percent)).unionByName(centred)
     more = _links(pairs.distinct(), sets, percent, "links")
     return labels if more.isEmpty() else components(links.unionByName(more))
 

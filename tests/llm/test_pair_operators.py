@@ -132,6 +132,60 @@ def test_join_of_a_large_group_about_the_threshold(spark):
     assert 20 < len({c for _, _, c in want}) < 400
 
 
+def test_a_family_of_near_sets_meets_at_one_centre(spark, monkeypatch):
+    """Own edits of one text, in groups with many hubs: what is compared grows with the sets, not with sets times hubs."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(360):
+        new = [f"w{j}" for j in range(100)]
+        for at in rng.sample(range(100), rng.choice((1, 2, 3, 4, 5, 6))):
+            new[at] = f"own{i}e{at}" if rng.random() < 0.8 else f"e{at}"
+        rows.append((i, " ".join(new), None))
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 8)
+    monkeypatch.setattr(jaccard_join, "DIRECT", 2)
+    seen = []
+
+    def by_difference(near, percent, run=jaccard_join._by_difference):
+        near = near.where(F.col("d") <= jaccard_join.NEAR)
+        seen.append((near.count(), near.select("sid").distinct().count()))
+        return run(near, percent)
+
+    monkeypatch.setattr(jaccard_join, "_by_difference", by_difference)
+    want = brute_join(rows)
+    assert sorted(map(tuple, jaccard_join.join(make(spark, rows)).collect())) == sorted(want)
+    assert 10 < len({c for _, _, c in want}) < 350
+    ((members, sets),) = seen
+    assert sets > 200 and members <= 1.2 * sets
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sets_that_move_to_a_centre_lose_no_partner(spark, seed):
+    """Linked sets that were near one hub share a hub afterwards, unless one of them is the centre; then they are a pair."""
+    rng = np.random.default_rng(seed)
+    base, sets = np.arange(40), []
+    for i in range(120):
+        away = rng.choice(40, rng.integers(0, 16), replace=False)
+        sets.append(np.sort(np.concatenate([np.delete(base, away), 100 + rng.choice(20, rng.integers(0, 9), replace=False)])).astype(np.uint64))
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    distance = lambda a, b: 1 - both(a, b) / (len(sets[a]) + len(sets[b]) - both(a, b))
+    ddl = "hub long, sid long, cluster long, n int, m int, d double, delta array<long>"
+
+    def rings(members, reach):
+        found = [(h, s, s, len(sets[s]), len(sets[h]), distance(h, s)) for h, s in members]
+        return spark.createDataFrame([(*r, np.setxor1d(sets[r[0]], sets[r[1]]).astype(int).tolist() if r[5] <= reach else []) for r in found], ddl)
+
+    members = [(h, s) for h in range(12) for s in rng.choice(120, rng.integers(10, 80), replace=False).tolist() if h != s]
+    members = [(h, s) for h, s in members if distance(h, s) <= jaccard_join.NEAR]
+    measured = lambda wanted, reach: rings([(r["hub"], r["sid"]) for r in wanted.collect()], reach)
+    placed, pairs = jaccard_join._central(rings(members, jaccard_join.NEAR), measured, 80)
+    rows = [(r["hub"], r["sid"], len(r["delta"])) for r in placed.collect()]
+    assert len({r[:2] for r in rows}) == len(rows) < len(members)
+    assert all(d == len(np.setxor1d(sets[h], sets[s])) for h, s, d in rows)
+    hubs, met = {s: {h for h, t, _ in rows if t == s} for s in range(120)}, {(r["a"], r["b"]) for r in pairs.collect()} | {(max(m), min(m)) for m in members}
+    linked = {(a, b) for h in range(12) for x, a in members if x == h for y, b in members if y == h and b < a and distance(a, b) <= 0.2}
+    assert len(linked) > 50 and all(hubs[a] & hubs[b] or (a, b) in met for a, b in linked)
+
+
 def test_join_of_rows_without_ids_and_of_repeated_rows(spark):
     """Null ids are no key that rows meet by, and repeated rows are one set."""
     text = lambda i: " ".join(f"t{i}w{j}" for j in range(30))
