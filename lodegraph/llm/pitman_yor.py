@@ -225,22 +225,44 @@ class Totals:
     root: tuple[tuple[int, int], ...] = ()  # customers and tables of the unigram restaurant, after each sweep
 
 
+def _distinct(parts) -> np.ndarray:
+    """The distinct numbers of many arrays in order; no more of them are held than some three times the result."""
+    held, size, limit = [np.zeros(0, np.int64)], 0, 1 << 18
+    for x in parts:
+        held.append(np.unique(x))
+        size += len(held[-1])
+        if size > limit:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+            limit = max(limit, 2 * size)
+    return np.unique(np.concatenate(held))
+
+
 def _merge(table: pa.Table, n_parts: int) -> pa.Table:
     """The dishes of a bucket in all restaurants (restaurants of each word, as differences, and customers), the numbers of all
-    contexts that it has, and for every part that holds some of them their customers."""
+    contexts that it has, and for every part that holds some of them their customers. Chunks are unpacked one at a time, for
+    the contexts and again for the dishes."""
     tidy()
     bucket = table.column("key")[0].as_py()
-    words, contexts, counts = [], [], []
-    for blob in table.column("blob").to_pylist():
-        word, n_types, steps, trained = unpack(blob)
-        words.append(np.repeat(np.cumsum(word, dtype=np.int64), n_types))
-        contexts.append(_unstepped(steps, n_types))
-        counts.append(trained.astype(np.int64))
-    names, context = np.unique(np.concatenate(contexts), return_inverse=True)
-    width, trained = len(names) + 1, np.concatenate(counts)
-    some = trained > 0
-    code, at = np.unique(np.concatenate(words)[some] * width + context[some] + 1, return_inverse=True)
-    customers = np.bincount(at, trained[some], len(code)).astype(np.int64)
+
+    def unpacked():
+        return (unpack(blob.as_py()) for blob in table.column("blob"))
+
+    names = _distinct(_unstepped(steps, n_types) for _, n_types, steps, _ in unpacked())
+    width, code, customers = len(names) + 1, [], []
+    for word, n_types, steps, trained in unpacked():
+        some = trained > 0
+        context = np.searchsorted(names, _unstepped(steps, n_types)[some]) + 1
+        code.append(np.repeat(np.cumsum(word, dtype=np.int64), n_types)[some] * width + context)
+        customers.append(trained[some])
+    code, customers = np.concatenate(code), np.concatenate(customers)
+    order = np.argsort(code)
+    code, customers = code[order], customers[order]
+    del order
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    customers = np.add.reduceat(customers, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    code = code[first]
+    del first
     word, context = code // width, code % width
     n_types = np.bincount(word)
     sums = [(customers == 1).sum(), (customers == 2).sum()]
@@ -499,17 +521,18 @@ def _predict(asked: pa.Table, table: pa.Table, totals: Totals, n_parts: int, swe
     if not asked.num_rows:
         return _SENT.empty_table()
     home = _home(table, totals, n_parts)
+    del table
     totals, n_words, bucket = home.totals, home.n_words, home.bucket
     width, d1, d2 = len(home.names) + 1, totals.root_discount, totals.discount
     code = home.word * width + home.context  # ascends
-    probability, seen = [], []
+    probability, seen = [], np.zeros(len(code))
     for s in range(sweeps - samples + 1, sweeps + 1):
-        t2, t1 = home.seats[s]
+        t2, t1 = home.seats.pop(s)
         ((t2, c1, t1),) = seatings(0, home.word, home.context, home.customers, n_words, totals, s, (s, t2, t1))
         all_c, all_t = totals.root[s]
         base = (STRENGTH_ROOT + d1 * all_t) / (totals.v + 1)
         probability.append((np.append(c1 - d1 * t1, 0) + base) / (STRENGTH_ROOT + all_c))  # the last is the unknown word
-        seen.append(home.customers - d2 * t2)
+        seen += home.customers - d2 * t2
     sent = []
     for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("blob").to_pylist()):
         word, n_types, steps, _ = unpack(blob)
@@ -519,10 +542,10 @@ def _predict(asked: pa.Table, table: pa.Table, totals: Totals, n_parts: int, swe
         hit = (at < len(code)) & (w < n_words)
         hit[hit] = code[at[hit]] == (w * width + u)[hit]
         mean = np.zeros(len(w))
-        for s, (parent, cs) in enumerate(zip(probability, seen), sweeps - samples + 1):
-            added = np.zeros(len(w))
-            added[hit] = cs[at[hit]]
-            mean += (added + (STRENGTH_CONTEXT + d2 * totals.tables[s][u]) * parent[w]) / (STRENGTH_CONTEXT + totals.customers[u])
+        mean[hit] = seen[at[hit]]
+        for s, parent in enumerate(probability, sweeps - samples + 1):
+            mean += (STRENGTH_CONTEXT + d2 * totals.tables[s][u]) * parent[w]
+        mean /= STRENGTH_CONTEXT + totals.customers[u]
         sent.append((chunk, IDS, bucket, pack(np.log10(mean / len(probability)).astype(np.float32))))
     return rows(_SENT, sent)
 

@@ -236,6 +236,34 @@ def test_pairs_keep_their_contexts():
     assert len(pitman_yor._unstepped(pitman_yor._steps(context[:0], n_types[:0]), n_types[:0])) == 0
 
 
+def test_merging_takes_little_memory():
+    """Dishes of many chunks against a plain count, with a peak of less than 64 bytes a pair."""
+    import tracemalloc
+
+    rng, found, want, n_pairs = np.random.default_rng(6), [], collections.Counter(), 0
+    for chunk in range(60):
+        word, context = np.divmod(np.unique(rng.integers(0, 3000 * 5000, 12_000)), 5000)
+        trained = rng.integers(0, 4, len(word))
+        words, n_types = np.unique(word, return_counts=True)
+        context = context * 10**6
+        for w, u, c in zip(word.tolist(), context.tolist(), trained.tolist()):
+            want[w, u] += c
+        n_pairs += len(word)
+        found.append((3, pitman_yor.PAIRS, chunk, pack(np.diff(words, prepend=0), n_types.astype(np.uint32), pitman_yor._steps(context, n_types), trained.astype(np.uint32))))
+    table = pitman_yor.rows(pitman_yor._SENT, found)
+    tracemalloc.start()
+    merged = pitman_yor._merge(table, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {r["kind"]: unpack(r["blob"]) for r in merged.to_pylist() if r["kind"] != pitman_yor.SENT}
+    n_types, steps, customers = got[pitman_yor.DISHES]
+    names = np.cumsum(got[pitman_yor.NAMES][0])
+    dishes = zip(np.repeat(np.arange(len(n_types)), n_types).tolist(), names[pitman_yor._unstepped(steps, n_types) - 1].tolist(), customers.tolist())
+    assert {(w, u): c for w, u, c in dishes} == {k: c for k, c in want.items() if c}
+    assert set(names.tolist()) == {u for _, u in want}
+    assert peak < 64 * n_pairs
+
+
 def test_stirling_numbers_and_table_draws():
     d = 0.5
     table = np.exp(pitman_yor.log_stirling(d, 4))
