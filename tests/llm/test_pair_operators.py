@@ -132,25 +132,30 @@ def test_join_of_a_large_group_about_the_threshold(spark):
     assert 20 < len({c for _, _, c in want}) < 400
 
 
-def test_a_family_of_near_sets_meets_at_one_centre(spark, monkeypatch):
-    """Own edits of one text, in groups with many hubs: what is compared grows with the sets, not with sets times hubs."""
+def family(monkeypatch):
+    """Own edits of one text, in groups with many hubs; and a list that gets the members and the sets that meet at hubs."""
     rng = random.Random(8)
-    rows = []
+    rows, seen = [], []
     for i in range(360):
         new = [f"w{j}" for j in range(100)]
         for at in rng.sample(range(100), rng.choice((1, 2, 3, 4, 5, 6))):
             new[at] = f"own{i}e{at}" if rng.random() < 0.8 else f"e{at}"
         rows.append((i, " ".join(new), None))
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 8)
-    monkeypatch.setattr(jaccard_join, "DIRECT", 2)
-    seen = []
 
     def by_difference(near, percent, run=jaccard_join._by_difference):
         near = near.where(F.col("d") <= jaccard_join.NEAR)
         seen.append((near.count(), near.select("sid").distinct().count()))
         return run(near, percent)
 
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 8)
+    monkeypatch.setattr(jaccard_join, "DIRECT", 2)
     monkeypatch.setattr(jaccard_join, "_by_difference", by_difference)
+    return rows, seen
+
+
+def test_a_family_of_near_sets_meets_at_one_centre(spark, monkeypatch):
+    """What is compared grows with the sets, not with sets times hubs."""
+    rows, seen = family(monkeypatch)
     want = brute_join(rows)
     assert sorted(map(tuple, jaccard_join.join(make(spark, rows)).collect())) == sorted(want)
     assert 10 < len({c for _, _, c in want}) < 350
@@ -158,6 +163,15 @@ def test_a_family_of_near_sets_meets_at_one_centre(spark, monkeypatch):
     assert sets > 200 and members <= 1.2 * sets
 
 
+def test_the_pipeline_keeps_one_row_of_each_component_of_a_family(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows, seen = family(monkeypatch)
+    kept = corpus_pipeline.jaccard_stage(spark, make(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_join(rows)})
+    assert all(members <= 1.2 * sets for members, sets in seen) and seen
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_sets_that_move_to_a_centre_lose_no_partner(spark, seed):
     """Linked sets that were near one hub share a hub afterwards, unless one of them is the centre; then they are a pair."""
